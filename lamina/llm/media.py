@@ -220,6 +220,8 @@ def parse(data: bytes) -> Jpeg:
         n = struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + n]
         at += 2 + n
+        if at > len(data):
+            raise ValueError("truncated file")
         if marker == 0xC0:
             _, out.height, out.width, count = struct.unpack_from(">BHHB", body)
             out.components = [(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * count, 3)]

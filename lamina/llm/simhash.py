@@ -12,6 +12,9 @@ bucket emits its ball over the bits the mask leaves free; at most
 free + 1 distinct fingerprints can meet in one point, whatever the bucket's
 size, and every meeting is a true link.
 
+``near_copies`` and ``keep_one`` serve similarities that one fingerprint cannot
+reach within two bits: see there.
+
 Defined results: null and wordless texts have fingerprint zero and are linked
 like any other; fewer words than a shingle make one shingle of all; null
 doc_ids are kept and never name a component unless all its ids are null;
@@ -29,6 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import Written, components, remote, table
 
+#: Word-set fingerprints of a text, 64-bit words of its long fingerprint, and the latter's margin in standard deviations.
+KINDS, SIGNATURE, MARGIN = 12, 16, 1.5
+
 _ONES = np.uint64(0x0101010101010101)
 
 
@@ -76,13 +82,16 @@ def _signed(x: int) -> int:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) of at most two differing bits; they connect what such pairs connect."""
+    """Edges (a, b) between the nodes of fingerprints of at most two differing bits; they connect what such pairs connect.
+
+    ``prints`` has (s, fp, node): the fingerprint's kind, distinct fingerprints of that kind, and what each stands for.
+    """
     masks = covering_masks(2)
-    keys = prints.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])).alias("x"), "fp").select("x.t", "x.k", "fp")
-    shared = Written(keys.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1").select("t", "k"), "buckets").df
+    keys = prints.select("s", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])).alias("x"), "fp", "node").select("s", "x.t", "x.k", "fp", "node")
+    shared = Written(keys.groupBy("s", "t", "k").agg(F.count("*").alias("n")).where("n > 1").select("s", "t", "k"), "buckets").df
     ball = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)).cast("long") for i in range(64) if not m >> i & 1]) for m in masks])
-    met = keys.join(shared, ["t", "k"]).select("t", "fp", F.explode(F.element_at(ball, F.col("t") + 1)).alias("flip"))
-    points = met.groupBy("t", F.col("fp").bitwiseXOR(F.col("flip")).alias("at")).agg(F.collect_list("fp").alias("near")).where("size(near) > 1")
+    met = keys.join(shared, ["s", "t", "k"]).select("s", "t", "fp", "node", F.explode(F.element_at(ball, F.col("t") + 1)).alias("flip"))
+    points = met.groupBy("s", "t", F.col("fp").bitwiseXOR(F.col("flip")).alias("at")).agg(F.collect_list("node").alias("near")).where("size(near) > 1")
     return points.select(F.array_min("near").alias("b"), F.explode("near").alias("a")).where("a <> b").distinct()
 
 
@@ -91,7 +100,7 @@ def simhash_components(docs: DataFrame, shingle: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = Written(rows.mapInArrow(remote("lamina.llm.simhash:fingerprint_batches", shingle), "doc_id long, fp long"), "prints").df
     groups = Written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "groups").df
-    labels = Written(components(links(groups)), "labels").df
+    labels = Written(components(links(groups.select(F.lit(0).alias("s"), "fp", F.col("fp").alias("node")))), "labels").df
     named = groups.join(labels, groups.fp == labels.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_print = Written(named.join(least, "label").select("fp", "component_id"), "by-print").df
@@ -104,13 +113,94 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+# Near-copies by similarity: several fingerprints propose, a long one of the shingles decides.
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _many(hashes: np.ndarray, n: int) -> list[int]:
+    """``n`` 64-bit fingerprints from independent hashes of the same values."""
+    seeds = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    counts = np.zeros((n, 64), np.int64)
+    for at in range(0, len(hashes), 16320):  # 64 rounds of 255
+        some = _mixed(hashes[at : at + 16320][None, :] + seeds)
+        cuts = np.arange(0, some.shape[1], 255)
+        for shift in range(8):
+            lanes = np.add.reduceat((some >> np.uint64(shift)) & _ONES, cuts, axis=1)
+            counts[:, shift::8] += lanes.view(np.uint8).reshape(n, -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def sketch(text: str | None, shingle: int) -> tuple[list[int], list[int]]:
+    """(fingerprints of the word set, words of the long fingerprint of the shingle set) of a text; wordless texts have none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return [], []
+    digest = xxhash.xxh64_intdigest
+    single = np.fromiter((digest(w, 42) for w in set(words)), np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - shingle + 1)
+    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
+    several = np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n))
+    return _many(single, KINDS), _many(several, SIGNATURE)
+
+
+def sketch_batches(batches, shingle):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            found = [sketch(x.as_py(), shingle) for x in part.column("text")]
+            arrays = [pa.array([np.array(f[i], np.uint64).view(np.int64) for f in found], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", "prints", "sig"])
+
+
+def most_differing(similarity: float) -> int:
+    """Bits of the long fingerprint in which sets of that Jaccard similarity may differ, with a margin for its error."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * SIGNATURE
+    return int(bits * share + MARGIN * np.sqrt(bits * share * (1 - share)))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of all documents with words, and (node, label) of the linked nodes.
+
+    A node is a text up to case and whitespace, named by its smallest doc_id.
+    Two nodes are linked if one of their ``KINDS`` word-set fingerprints differs
+    in at most two bits, which the covering tables find, and the long
+    fingerprints of their shingle sets say that these are ``similarity`` alike.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = Written(rows.mapInArrow(remote("lamina.llm.simhash:sketch_batches", shingle), "doc_id long, prints array<long>, sig array<long>"), "sketches").df.where("size(sig) > 0")
+    nodes = Written(marked.groupBy("prints", "sig").agg(F.min("doc_id").alias("node")), "nodes").df
+    prints = nodes.select("node", F.posexplode("prints").alias("s", "fp"))
+    first = Written(prints.groupBy("s", "fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "first").df
+    equal = prints.join(first.where("n > 1").select("s", "fp", F.col("node").alias("b")), ["s", "fp"]).select(F.col("node").alias("a"), "b").where("a <> b")
+    proposed = Written(links(first.select("s", "fp", "node")).unionByName(equal).distinct(), "proposed").df
+    signed = lambda name: nodes.select(F.col("node").alias(name), F.col("sig").alias(f"sig_{name}"))
+    differing = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    alike = proposed.join(signed("a"), "a").join(signed("b"), "b").where(differing <= most_differing(similarity)).select("a", "b")
+    labels = Written(components(alike), "labels").df
+    return marked.join(nodes, ["prints", "sig"]).select("doc_id", "node"), labels
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id, all columns as they were.
 
     Rows that repeat that doc_id are repeats of one document; one of them stays.
-    Rows without a doc_id cannot be told apart and all stay.
+    Rows without a doc_id or without words are in no group and all stay.
     """
-    found = simhash_components(docs, shingle)
-    stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    members, labels = near_copies(docs, shingle, similarity)
+    roots = F.coalesce(F.col("label"), F.col("node"))
+    gone = members.join(labels, "node", "left").where(F.col("doc_id") != roots).select(F.col("doc_id").alias("gone"))
+    gone = Written(gone.distinct(), "gone").df
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    repeated = members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if repeated:
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept

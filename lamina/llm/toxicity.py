@@ -88,11 +88,12 @@ class TextCnn:
         n = len(cuts) - 1
         big, places = [], []
         for width, weights, bias in zip(WIDTHS, self.filters, self.bias, strict=True):
-            # Each text is followed by enough zero rows for the widest filter, so no window spans two texts.
+            # Each text is followed by zero rows, so short and empty texts have windows too.
             response = np.zeros((len(ids) - width + 1, FILTERS)) + bias
             for j in range(width):
                 response += (self.embedding @ weights[j])[ids[j : len(ids) - width + 1 + j]]
             np.maximum(response, 0, out=response)
+            response[(cuts[1:-1, None] - np.arange(1, width)).ravel()] = 0  # windows into the next text
             best = np.maximum.reduceat(response, cuts[:-1], axis=0)
             big.append(best)
             if where:
