@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import remote, table
 
 DIMENSIONS = 4096
-PER_LANGUAGE = 800
+PER_LANGUAGE = 500
 CLUSTERS = 4
 REJECT_MARGIN = 0.5
 SHARPNESS = 25.0
@@ -62,7 +62,7 @@ class Centroids:
     least: float  # smaller best cosines are rejected
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
-        weighted = np.log1p(counts) * self.idf
+        weighted = np.log1p(counts, dtype=np.float32) * self.idf
         norm = np.sqrt((weighted * weighted).sum(axis=-1, keepdims=True))
         return weighted / np.maximum(norm, 1e-12)
 
@@ -74,8 +74,8 @@ class Centroids:
 
 def fit(counts: np.ndarray, langs: list[str], clusters: int = CLUSTERS, rounds: int = 12) -> Centroids:
     names = sorted(set(langs))
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    model = Centroids(names, idf, np.empty((0, DIMENSIONS)), np.empty(0, int), -1.0)
+    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    model = Centroids(names, idf, np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), -1.0)
     vectors = model.vector(counts)
     label = np.array([names.index(x) for x in langs])
     found, owner = [], []
@@ -114,7 +114,7 @@ def predict_batches(batches, model):
             cos = model.cosines(model.vector(np.stack([ngram_counts(texts[i]) for i in some])))
             top = cos.argmax(axis=1)
             soft = np.exp(SHARPNESS * (cos - cos.max(axis=1, keepdims=True)))
-            best[some] = cos.max(axis=1)
+            best[some] = cos.max(axis=1).astype(np.float64)
             scores[some] = 1 / soft.sum(axis=1)
             rejected[some] = best[some] < model.least
             for i, k in zip(some, top, strict=True):
@@ -135,9 +135,9 @@ def fit_on(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE) ->
     langs = got.column("lang").to_pylist()
     if not langs:
         return None
-    counts = np.stack([np.frombuffer(x, "<i4") for x in got.column("counts").to_pylist()])
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], counts[i].tobytes()))  # the order of arrival may change
-    return fit(counts[order].astype(np.float64), [langs[i] for i in order])
+    both = sorted(zip(langs, got.column("counts").to_pylist(), strict=True))  # the order of arrival may change
+    del got
+    return fit(np.stack([np.frombuffer(x, "<i4").astype(np.float32) for _, x in both]), [lang for lang, _ in both])
 
 
 def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:

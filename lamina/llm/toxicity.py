@@ -108,18 +108,19 @@ class TextCnn:
         return 0.5 * output / at if output < at else 0.5 + 0.5 * (output - at) / (1 - at)
 
 
-def joined(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of several texts in one array, each followed by zeros, and where they begin."""
-    pad = [0] * max(WIDTHS)
+    pad = np.zeros(max(WIDTHS), np.int64)
     cuts = np.cumsum([0] + [len(t) + len(pad) for t in texts])
-    return np.fromiter((x for t in texts for x in (*t, *pad)), np.int64, int(cuts[-1])), cuts
+    return np.concatenate([x for t in texts for x in (t, pad)]).astype(np.int64), cuts
 
 
-def train(texts: list[list[str]], labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.1, seed: int = 7) -> TextCnn:
+def train(hashed: list[np.ndarray], told: list[str], labels: np.ndarray, stand_for: tuple[float, float] = (1.0, 1.0), epochs: int = 6, batch: int = 32, rate: float = 0.1, seed: int = 7) -> TextCnn:
+    """A classifier from the hash buckets of texts' words, the languages told from them, and labels; ``stand_for``: how many rows a sampled row of each label stands for."""
     rng = np.random.default_rng(seed)
-    hashed = [[bucket(w) for w in t] for t in texts]
-    rows = {b: i + 1 for i, b in enumerate(sorted({b for t in hashed for b in t}))}
-    ids = [[rows[b] for b in t] for t in hashed]
+    known = np.unique(np.concatenate(hashed))
+    rows = dict(zip(known.tolist(), range(1, len(known) + 1), strict=True))
+    ids = [(np.searchsorted(known, t) + 1).astype(np.int32) for t in hashed]
     held = np.arange(len(ids)) % 5 == 4  # for the thresholds
     fitted = np.flatnonzero(~held)
     seen = np.zeros((2, len(rows) + 1))
@@ -168,22 +169,22 @@ def train(texts: list[list[str]], labels: np.ndarray, epochs: int = 6, batch: in
                 x -= rate * 0.3 * g / np.sqrt(s)
             squares[-1] += error.sum() ** 2
             net.out_bias -= rate * 0.3 * float(error.sum() / np.sqrt(squares[-1]))
-    calibrate(net, [texts[i] for i in np.flatnonzero(held)], [ids[i] for i in np.flatnonzero(held)], labels[held])
+    calibrate(net, np.array(told)[held], [ids[i] for i in np.flatnonzero(held)], labels[held], stand_for)
     return net
 
 
-def calibrate(net: TextCnn, texts, ids, labels: np.ndarray) -> None:
+def calibrate(net: TextCnn, told: np.ndarray, ids: list[np.ndarray], labels: np.ndarray, stand_for: tuple[float, float]) -> None:
     """Set the threshold of each language told from the texts to the one with the largest F1, and that of all."""
     if not len(ids):
         return
-    out = net.outputs(*joined(ids))
-    told = np.array([told_language(t) for t in texts])
+    out = np.concatenate([net.outputs(*joined(ids[i : i + 64])) for i in range(0, len(ids), 64)])
 
     def best(chosen: np.ndarray) -> float:
         p, y = out[chosen], labels[chosen]
         tried = np.unique(np.round(p, 6))
         tried = np.concatenate(([0.5], (tried[1:] + tried[:-1]) / 2))
-        f1 = [2 * ((p >= t) & (y == 1)).sum() / max(1, (p >= t).sum() + (y == 1).sum()) for t in tried]
+        w = np.array(stand_for)[y]
+        f1 = [2 * w[(p >= t) & (y == 1)].sum() / max(1.0, w[p >= t].sum() + w[y == 1].sum()) for t in tried]
         top = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
         return float(np.clip(tried[top[np.argmin(abs(tried[top] - 0.5))]], 0.02, 0.98))  # of equals the one nearest the middle
 
@@ -208,10 +209,18 @@ def scored(texts: list[str | None], net: TextCnn, cache: _Rows) -> np.ndarray:
     found = [words(t) for t in texts]
     if len(cache) > MOST_CACHED:
         cache.clear()
-    out = net.outputs(*joined([list(map(cache.__getitem__, f)) for f in found]))
+    out = net.outputs(*joined([np.fromiter(map(cache.__getitem__, f), np.int64, len(f)) for f in found]))
     return np.array([net.score(o, told_language(f)) for o, f in zip(out, found, strict=True)])
 
 
+def learn_batches(batches):
+    for batch in batches:
+        found = [words(t.as_py()) for t in batch.column("text")]
+        ids = [np.fromiter(map(bucket, f), "<i4", len(f)).tobytes() for f in found]
+        arrays = [batch.column("doc_id"), batch.column("toxic"), pa.array(ids, pa.binary()), pa.array(map(told_language, found), pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "toxic", "ids", "told"])
+
+
 def score_batches(batches, net):
     cache = _Rows(net.rows) if net else None
     for batch in batches:
@@ -238,11 +247,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = P
     share = F.when(F.col("toxic") == 1, F.lit(int(2**20 * min(1.0, per_class / counts[1])))).otherwise(F.lit(int(2**20 * min(1.0, per_class / counts[0]))))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < share)  # about 2 * per_class rows at most
     rows = docs.where(F.octet_length("text") <= longest).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = rows.join(F.broadcast(chosen), "doc_id").toArrow().to_pylist()
-    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))  # the order of arrival may change
+    # Only hashes of words come to the driver, four bytes each.
+    got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(remote("lamina.llm.toxicity:learn_batches"), "doc_id long, toxic int, ids binary, told string").toArrow().to_pylist()
+    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["ids"]))  # the order of arrival may change
     if len({r["toxic"] for r in got}) < 2:
         return None
-    return train([words(r["text"]) for r in got], np.array([r["toxic"] for r in got]))
+    stand_for = tuple(max(1.0, counts[i] / per_class) for i in (0, 1))
+    return train([np.frombuffer(r["ids"], "<i4") for r in got], [r["told"] for r in got], np.array([r["toxic"] for r in got]), stand_for)
 
 
 def score(docs: DataFrame, net: TextCnn | None) -> DataFrame:
