@@ -38,7 +38,7 @@ MARK = "▁"
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-MOST_CACHED = 500_000
+MOST_CACHED = 250_000
 SCHEMA = "doc_id long, ids array<int>, n_pieces long, n_byte_pieces long, decoded_crc32 long, lossless boolean"
 
 

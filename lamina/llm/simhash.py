@@ -87,6 +87,8 @@ def links(prints: DataFrame) -> DataFrame:
     ``prints`` has (s, fp, node): the fingerprint's kind, distinct fingerprints of that kind, and what each stands for.
     """
     masks = covering_masks(2)
+    # Fingerprints take little room in files, so few tasks would read them; their keys are many.
+    prints = prints.repartition(max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     keys = prints.select("s", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])).alias("x"), "fp", "node").select("s", "x.t", "x.k", "fp", "node")
     shared = Written(keys.groupBy("s", "t", "k").agg(F.count("*").alias("n")).where("n > 1").select("s", "t", "k"), "buckets").df
     ball = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)).cast("long") for i in range(64) if not m >> i & 1]) for m in masks])

@@ -40,7 +40,8 @@ FILTERS = 8
 SIZE = 8
 PER_CLASS = 3000
 LONGEST = 200_000
-MOST_CACHED = 400_000
+MOST_CACHED = 150_000
+AT_ONCE = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Function words that tell a text's language (fixed values).
 FUNCTION_WORDS = {
@@ -87,11 +88,12 @@ class TextCnn:
         """The largest response of every filter in each of the texts that ``cuts`` part; with the places of the maxima on request."""
         n = len(cuts) - 1
         big, places = [], []
+        vectors = self.embedding[ids]
         for width, weights, bias in zip(WIDTHS, self.filters, self.bias, strict=True):
             # Each text is followed by zero rows, so short and empty texts have windows too.
             response = np.zeros((len(ids) - width + 1, FILTERS)) + bias
             for j in range(width):
-                response += (self.embedding @ weights[j])[ids[j : len(ids) - width + 1 + j]]
+                response += vectors[j : len(ids) - width + 1 + j] @ weights[j]
             np.maximum(response, 0, out=response)
             response[(cuts[1:-1, None] - np.arange(1, width)).ravel()] = 0  # windows into the next text
             best = np.maximum.reduceat(response, cuts[:-1], axis=0)
@@ -221,11 +223,23 @@ def learn_batches(batches):
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "toxic", "ids", "told"])
 
 
+def portions(batch: pa.RecordBatch):
+    """Slices of a batch of about ``AT_ONCE`` characters, a row at least."""
+    sizes = [len(t.as_py() or "") for t in batch.column("text")]
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total + n > AT_ONCE and i > start:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def score_batches(batches, net):
     cache = _Rows(net.rows) if net else None
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
+        for part in portions(batch):
             got = scored(part.column("text").to_pylist(), net, cache) if net else np.zeros(part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
@@ -233,8 +247,7 @@ def score_batches(batches, net):
 def keep_batches(batches, net):
     cache = _Rows(net.rows)
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
+        for part in portions(batch):
             yield part.filter(pa.array(scored(part.column("text").to_pylist(), net, cache) < 0.5))
 
 
