@@ -20,6 +20,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -137,11 +138,14 @@ class Unigram:
         self.pieces, self.prefix = pieces, prefix
         kept = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER) and p}
         self.trie = trie or DoubleArray.build({p.encode(): i for p, i in kept.items()})
-        self._base, self._check, self._value = (x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value))
+        # With base one further and room after the end, a step needs no bounds check.
+        self._base, self._check, self._value = (self.trie.base + 1).tolist(), [*self.trie.check.tolist(), *[-1] * 257], self.trie.value.tolist()
         normal = [s for _, s, kind in pieces if kind == NORMAL]
         top, low = max(normal, default=0.0), min(normal, default=0.0)
         # A user-defined piece beats any way to spell it.
         self._score = [len(p.encode()) * top - 0.1 if kind == USER else s for p, s, kind in pieces]
+        self._gain = [self._score[i] if i >= 0 else -math.inf for i in self._value]
+        self._single = {p.encode() for p in kept if len(p) == 1}
         self._unknown_score = low - UNKNOWN_PENALTY
         self._unknown = next((i for i, x in enumerate(pieces) if x[2] == UNKNOWN), 0)
         self.bytes_at = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
@@ -156,42 +160,36 @@ class Unigram:
 
     def viterbi(self, chunk: str) -> tuple[int, ...]:
         raw = chunk.encode("utf-8", "surrogatepass")
-        n, base, check, value, score = len(raw), self._base, self._check, self._value, self._score
-        best: list[float | None] = [None] * (n + 1)
+        n, base, check, gain = len(raw), self._base, self._check, self._gain
+        best = [-math.inf] * (n + 1)
         best[0] = 0.0
-        came = [(0, -1)] * (n + 1)
+        start, ends_in = [0] * (n + 1), [-1] * (n + 1)  # of the best last piece at each place: where it starts, its state
         at = 0
         while at < n:
-            lead = raw[at]
-            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            here, state, single = best[at], 0, False
+            here, state = best[at], 0
             for end in range(at, n):
-                to = base[state] + raw[end] + 1
-                if to >= len(check) or check[to] != state or to == 0:
+                to = base[state] + raw[end]
+                if check[to] != state:
                     break
                 state = to
-                number = value[to]
-                if number >= 0:
-                    if end + 1 == at + width:
-                        single = True
-                    got = here + score[number]
-                    if best[end + 1] is None or got > best[end + 1]:
-                        best[end + 1], came[end + 1] = got, (at, number)
-            if not single:
+                if (got := here + gain[to]) > best[end + 1]:
+                    best[end + 1], start[end + 1], ends_in[end + 1] = got, at, to
+            lead = raw[at]
+            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            if raw[at : at + width] not in self._single:
                 got = here + self._unknown_score
-                if best[at + width] is None or got > best[at + width]:
-                    best[at + width], came[at + width] = got, (at, -1)
+                if got > best[at + width]:
+                    best[at + width], start[at + width], ends_in[at + width] = got, at, -1
             at += width
         out: list[int] = []
         while at:
-            start, number = came[at]
-            if number >= 0:
-                out.append(number)
+            if ends_in[at] >= 0:
+                out.append(self._value[ends_in[at]])
             elif self.bytes_at:
-                out.extend(self.bytes_at[b] for b in reversed(raw[start:at]))
+                out.extend(self.bytes_at[b] for b in reversed(raw[start[at] : at]))
             else:
                 out.append(self._unknown)
-            at = start
+            at = start[at]
         return tuple(reversed(out))
 
     def encode(self, text: str) -> np.ndarray:
@@ -200,8 +198,6 @@ class Unigram:
         marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
         if self._chunks is None:
             return np.array(self.viterbi(marked), np.int32)
-        if len(self._cache) > MOST_CACHED:
-            self._cache.clear()
         return np.fromiter(chain.from_iterable(map(self._cache.__getitem__, self._chunks.findall(marked))), np.int32)
 
     def decode(self, ids) -> str:
@@ -213,11 +209,17 @@ class Unigram:
 
 
 class _Cache(dict):
+    """The ids of recent chunks: when full, all entries become the older half, from which those in use return."""
+
     def __init__(self, make) -> None:
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        ids = self[chunk] = self.make(chunk)
+        ids = self.older.pop(chunk, None) or self.make(chunk)
+        if len(self) >= MOST_CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
         return ids
 
 
