@@ -9,8 +9,11 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _LOCAL: list[str] = []
@@ -40,6 +43,20 @@ def remote(target: str, *args) -> Callable:
     return run
 
 
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows of the driver as a table.
+
+    They travel as an Arrow table: the rows of a list would be read by Python
+    workers of another kind, which stay beside the others on every executor.
+    """
+    fields = StructType.fromDDL(ddl)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    kinds = to_arrow_schema(fields)
+    columns = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), kinds.types, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=kinds), fields)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only on a local master without that setting."""
     sc = spark.sparkContext

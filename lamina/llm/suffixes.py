@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, remote, table
+from .common import Written, remote, small_table, table
 
 MIN_WORDS = 50
 ANCHOR = 30
@@ -243,13 +243,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int =
     found = Written(ordered.mapInArrow(remote("lamina.llm.suffixes:neighbour_batches", min_words, anchor), FOUND), "found").df
     contexts.drop()
     merged, spans = bridges(found.where("kind > 0").collect(), min_words, anchor)  # two rows for each partition
-    runs = spark.createDataFrame(merged, "part int, run int, to_doc long, to_h long, to_pos int")
+    runs = small_table(spark, merged, "part int, run int, to_doc long, to_h long, to_pos int")
     inside = found.where("kind = 0").join(F.broadcast(runs), ["part", "run"], "left")
     known = F.col("to_h").isNotNull()
     first = [F.when(known, F.col(a)).otherwise(F.col(b)) for a, b in (("to_doc", "first_doc"), ("to_h", "first_h"), ("to_pos", "first_pos"))]
     is_first = F.col("doc_id").eqNullSafe(first[0]) & (F.col("h") == first[1]) & (F.col("pos") == first[2])
     inside = inside.where("ahead > 0").select("doc_id", "h", (F.col("pos") - F.col("back")).alias("start"), (F.col("pos") + F.col("ahead")).alias("end"), (~is_first).alias("removable"), first[0].alias("first_doc"))
-    across = spark.createDataFrame(spans, "doc_id long, h long, start int, end int, removable boolean, first_doc long")
+    across = small_table(spark, spans, "doc_id long, h long, start int, end int, removable boolean, first_doc long")
     entire = copies.select("doc_id", "h", F.lit(0).alias("start"), F.col("n_words").alias("end"), (~F.col("doc_id").eqNullSafe(F.col("rep"))).alias("removable"), F.col("rep").alias("first_doc"))
     return inside.unionByName(across).unionByName(entire)
 

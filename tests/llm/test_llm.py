@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lamina.llm import ann, bpe, langid, media, packing, sentencepieces, sharding, simhash, suffixes, tokencount, toxicity
-from lamina.llm.common import components
+from lamina.llm.common import components, small_table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, extra array<int>"
 ODD = [None, "", " ", "\n", "a", "é ü", "a b c d e", "日本 語", "x" * 5000, "...", "0 1 2", "\x1c\x85 a", "<|endoftext|> b"]
@@ -123,6 +123,15 @@ def test_components_of_paths_stars_and_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_small_tables_keep_rows_and_types(spark):
+    ddl = "a long, b int, c boolean"
+    rows = [(1, None, True), (None, -2, None), (1, None, True)]
+    for some in (rows, []):
+        found = small_table(spark, some, ddl)
+        assert found.schema.simpleString() == "struct<a:bigint,b:int,c:boolean>"
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(some, key=str)
+
+
 def test_keep_one_catches_near_copies_and_keeps_the_rest(spark, empty):
     rng = random.Random(8)
     vocab = [f"v{i}" for i in range(900)]
