@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -38,11 +39,22 @@ def remote(target: str, *args) -> Callable:
 
         if root not in sys.path:
             sys.path.append(root)
-        return getattr(importlib.import_module(module), name)(batches, *args)
+        try:
+            yield from getattr(importlib.import_module(module), name)(batches, *args)
+        finally:
+            importlib.import_module("lamina.llm.common").give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers stay beside an executor's JVM while it sorts and joins."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A few rows of the driver as a table.
 
