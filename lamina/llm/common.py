@@ -7,7 +7,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -39,14 +39,20 @@ def remote(target: str, *args) -> Callable:
 
         if root not in sys.path:
             sys.path.append(root)
-        try:
-            yield from getattr(importlib.import_module(module), name)(batches, *args)
-        finally:
-            importlib.import_module("lamina.llm.common").give_back()
+        found = getattr(importlib.import_module(module), name)(batches, *args)
+        # A function of a group returns its table at once.
+        return importlib.import_module("lamina.llm.common").then_give_back(found) if hasattr(found, "__next__") else found
 
     return run
 
 
+def then_give_back(found: Iterator) -> Iterator:
+    try:
+        yield from found
+    finally:
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: idle Python workers stay beside an executor's JVM while it sorts and joins."""
     pa.default_memory_pool().release_unused()
