@@ -13,7 +13,7 @@ free + 1 distinct fingerprints can meet in one point, whatever the bucket's
 size, and every meeting is a true link.
 
 ``near_copies`` and ``keep_one`` serve similarities that one fingerprint cannot
-reach within two bits: see there.
+reach within two bits, by prefix filtering over the shingles: see there.
 
 Defined results: null and wordless texts have fingerprint zero and are linked
 like any other; fewer words than a shingle make one shingle of all; null
@@ -24,6 +24,8 @@ columns are ignored by ``simhash_components``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import Written, components, remote, table
 
-#: Word-set fingerprints of a text, 64-bit words of its long fingerprint, and the latter's margin in standard deviations.
-KINDS, SIGNATURE, MARGIN = 12, 16, 1.5
+#: One text of so many is read to find common shingles, of which at most so many are told apart.
+SAMPLE, COMMON = 16, 100_000
 
 _ONES = np.uint64(0x0101010101010101)
 
@@ -115,80 +117,122 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near-copies by similarity: several fingerprints propose, a long one of the shingles decides.
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
+# Near-copies by similarity: prefix filtering proposes every pair that can be alike, the shingle sets decide.
 
-def _many(hashes: np.ndarray, n: int) -> list[int]:
-    """``n`` 64-bit fingerprints from independent hashes of the same values."""
-    seeds = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-    counts = np.zeros((n, 64), np.int64)
-    for at in range(0, len(hashes), 16320):  # 64 rounds of 255
-        some = _mixed(hashes[at : at + 16320][None, :] + seeds)
-        cuts = np.arange(0, some.shape[1], 255)
-        for shift in range(8):
-            lanes = np.add.reduceat((some >> np.uint64(shift)) & _ONES, cuts, axis=1)
-            counts[:, shift::8] += lanes.view(np.uint8).reshape(n, -1, 8).sum(axis=1, dtype=np.int64)
-    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
-
-def sketch(text: str | None, shingle: int) -> tuple[list[int], list[int]]:
-    """(fingerprints of the word set, words of the long fingerprint of the shingle set) of a text; wordless texts have none."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted hashes of the text's shingles; wordless texts have none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [], []
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    single = np.fromiter((digest(w, 42) for w in set(words)), np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
-    several = np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n))
-    return _many(single, KINDS), _many(several, SIGNATURE)
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Sets of n and at least as alike share an element of their first so many ones, in whatever order all sets have."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def in_order(found: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """``found`` by the order of all sets: hashes as they are, then those of ``common`` (sorted by hash, with ranks), the most common last."""
+    if not len(common):
+        return found
+    at = np.minimum(np.searchsorted(common["hash"], found), len(common) - 1)
+    rank = np.where(common["hash"][at] == found, common["rank"][at], 0)
+    return found[np.argsort(rank, kind="stable")]
+
+
+def sampled_batches(batches, shingle):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            found = [shingle_set(x.as_py(), shingle) for x in batch.column("text").slice(at, 500)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["k"])
+
+
+def prefix_batches(batches, shingle, similarity, common):
+    """(doc_id, two hashes and the size of the shingle set, its prefix)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = [shingle_set(x.as_py(), shingle) for x in part.column("text")]
+            marks = [[xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets] for seed in (1, 2)]
+            heads = [in_order(x, common)[: prefix_length(len(x), similarity)].view(np.int64) if len(x) else x.view(np.int64) for x in sets]
+            arrays = [part.column("doc_id"), *(pa.array(np.array(m, np.uint64).view(np.int64)) for m in marks), pa.array([len(x) for x in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "x", "y", "n", "prefix"])
 
 
-def sketch_batches(batches, shingle):
+def set_batches(batches, shingle):
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            found = [sketch(x.as_py(), shingle) for x in part.column("text")]
-            arrays = [pa.array([np.array(f[i], np.uint64).view(np.int64) for f in found], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", "prints", "sig"])
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = [shingle_set(x.as_py(), shingle).view(np.int64) for x in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
 
 
-def most_differing(similarity: float) -> int:
-    """Bits of the long fingerprint in which sets of that Jaccard similarity may differ, with a margin for its error."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = 64 * SIGNATURE
-    return int(bits * share + MARGIN * np.sqrt(bits * share * (1 - share)))
+def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
+    """(hash, rank) of the shingles that many texts of a sample have; they only set the order, so a sample loses no pair."""
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(remote("lamina.llm.simhash:sampled_batches", shingle), "k long").groupBy("k").agg(F.count("*").alias("n")).where("n > 2")
+    got = counts.orderBy(F.desc("n"), "k").limit(COMMON).collect()
+    found = np.zeros(len(got), [("hash", np.uint64), ("rank", np.int64)])
+    found["hash"] = np.array([r["k"] for r in got], np.int64).view(np.uint64)
+    found["rank"] = len(got) - np.arange(len(got))
+    return np.sort(found, order="hash")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of all documents with words, and (node, label) of the linked nodes.
 
-    A node is a text up to case and whitespace, named by its smallest doc_id.
-    Two nodes are linked if one of their ``KINDS`` word-set fingerprints differs
-    in at most two bits, which the covering tables find, and the long
-    fingerprints of their shingle sets say that these are ``similarity`` alike.
+    A node is a set of shingles, named by its smallest doc_id.  Nodes are linked
+    exactly if the Jaccard similarity of their sets is ``similarity`` or more.
+    Two such sets share a shingle of their prefixes, so all pairs that can be
+    alike meet.  First each node is compared with the smallest one it meets at
+    each shingle; then all that meet and are not connected yet are compared, if
+    they share as many shingles of their prefixes as alike ones must.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = Written(rows.mapInArrow(remote("lamina.llm.simhash:sketch_batches", shingle), "doc_id long, prints array<long>, sig array<long>"), "sketches").df.where("size(sig) > 0")
-    nodes = Written(marked.groupBy("prints", "sig").agg(F.min("doc_id").alias("node")), "nodes").df
-    prints = nodes.select("node", F.posexplode("prints").alias("s", "fp"))
-    first = Written(prints.groupBy("s", "fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "first").df
-    equal = prints.join(first.where("n > 1").select("s", "fp", F.col("node").alias("b")), ["s", "fp"]).select(F.col("node").alias("a"), "b").where("a <> b")
-    proposed = Written(links(first.select("s", "fp", "node")).unionByName(equal).distinct(), "proposed").df
-    signed = lambda name: nodes.select(F.col("node").alias(name), F.col("sig").alias(f"sig_{name}"))
-    differing = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    alike = proposed.join(signed("a"), "a").join(signed("b"), "b").where(differing <= most_differing(similarity)).select("a", "b")
-    labels = Written(components(alike), "labels").df
-    return marked.join(nodes, ["prints", "sig"]).select("doc_id", "node"), labels
+    prefixes = rows.mapInArrow(remote("lamina.llm.simhash:prefix_batches", shingle, similarity, common_shingles(rows, shingle)), "doc_id long, x long, y long, n int, prefix array<long>")
+    marked = Written(prefixes, "prefixes").df.where("n > 0")
+    named = Written(marked.groupBy("x", "y", "n").agg(F.min("doc_id").alias("node")), "nodes").df
+    members = marked.join(named, ["x", "y", "n"]).select("doc_id", "node")
+    # Rows under one doc_id may differ; then the first of their sets has its name.
+    heads = marked.join(named, ["x", "y", "n"]).where("doc_id = node").select("node", "n", "x", "y", "prefix").dropDuplicates(["node", "n", "x", "y"])
+    keys = heads.select(F.explode("prefix").alias("k"), "node", "n")
+    shared = keys.groupBy("k").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("k", "least")
+    met = Written(keys.join(shared, "k"), "met").df
+    size = named.select(F.col("node").alias("least"), F.col("n").alias("n_least")).groupBy("least").agg(F.min("n_least").alias("n_low"), F.max("n_least").alias("n_high"))
+    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+    stars = met.where("node <> least").select("node", "n", "least").distinct().join(size, "least")
+    stars = Written(stars.where((F.col("n") >= similarity * F.col("n_low") - 1e-9) & (F.col("n_high") >= similarity * F.col("n") - 1e-9)).select(F.col("node").alias("a"), F.col("least").alias("b")), "stars").df
+    close = Written(alike(rows, stars, shingle, similarity), "close").df
+    labels = Written(components(close), "labels").df
+    placed = Written(met.select("k", "node", "n").join(labels, "node", "left").select("k", "node", "n", F.coalesce("label", "node").alias("label")), "placed").df
+    open_ = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
+    left = Written(placed.join(open_, "k"), "open").df
+    one, two = (left.select("k", *(F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "label"))) for i in "ab")
+    pairs = one.join(two, "k").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fits(F.col("n_a"), F.col("n_b")))
+    # Beyond the prefix that ends first a set has n - prefix shingles, which is the floor of similarity * n or one less.
+    most_beyond = similarity * F.greatest("n_a", "n_b") + 1
+    enough = F.col("c") >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - most_beyond
+    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("c")).where(enough)
+    pairs = Written(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs").df
+    linked = Written(components(close.unionByName(alike(rows, pairs, shingle, similarity))), "linked").df
+    return members, linked
+
+
+def alike(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts' shingle sets are ``similarity`` alike."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = Written(rows.join(wanted, "doc_id", "left_semi").mapInArrow(remote("lamina.llm.simhash:set_batches", shingle), "node long, own array<long>"), "sets").df
+    one, two = (sets.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("own_a", "own_b")))
+    return both.where(F.col("same") >= similarity * (F.size("own_a") + F.size("own_b") - F.col("same")) - 1e-9).select("a", "b")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

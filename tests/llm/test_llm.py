@@ -150,6 +150,34 @@ def test_keep_one_catches_near_copies_and_keeps_the_rest(spark, empty):
     assert simhash.keep_one(empty, 5).count() == 0
 
 
+def test_near_copies_equal_brute_force_over_exact_jaccard(spark):
+    rng = random.Random(18)
+    vocab = [f"v{i}" for i in range(900)]
+    texts = []
+    for _ in range(12):  # passages appended, removed, replaced, and scattered edits
+        t = rng.choices(vocab, k=200)
+        texts += [t, t + rng.choices(vocab, k=20), t + rng.choices(vocab, k=45), t[:170], t[:60] + t[85:], t[:90] + rng.choices(vocab, k=12) + t[102:], t[100:] + t[:100]]
+        texts.append([w if rng.random() > 0.02 else "changed" for w in t])
+    words = rng.choices(vocab, k=120)
+    texts.append(sorted(words))  # not alike to what follows, and the smallest of their group
+    for _ in range(4):
+        rng.shuffle(words)
+        texts += [list(words), [*words[:-1], "other"]]
+    line = rng.choices(vocab, k=40)  # shared by many that are otherwise unlike
+    texts += [line + rng.choices(vocab, k=rng.randint(1, 40)) for _ in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    members, labels = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    found = dict(map(tuple, labels.collect()))
+    assert {r.doc_id: found.get(r.node, r.node) for r in members.collect()} == dict(enumerate(label))
+
+
 # Sharding.
 
 
