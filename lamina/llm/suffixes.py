@@ -4,25 +4,23 @@ Of every window of ``min_words`` words the suffix at the minimiser, the word
 position whose following ``anchor`` words have the smallest hash, is retained.
 Equal windows retain the same position, so a repeated passage shares a retained
 suffix in each of its windows.  Retained suffixes whose anchor occurs once are
-dropped, the rest are sorted by anchor, the words after it and the words before
-it, neighbours are compared, and a match is extended right and left; it counts
-from ``min_words`` words.  Longer passages are covered by the matches of all
-their suffixes.  Suffixes that match their neighbours form a run; the
-occurrence with the smallest (doc_id, position) is the first, and the others
-are ``removable``.
-
-The sort is a range partitioning over all sort columns, so a passage that very
-many documents share is spread over tasks.  The two outer suffixes of each
-partition are compared on the driver, two rows for a partition.
+dropped; of the rest all windows are hashed, and equal hashes meet after a sort
+by (hash, place).  A window that occurs at several places is repeated; its
+smallest (doc_id, position) is the first occurrence, and the words of every
+other occurrence are ``removable``, but not where it overlaps its own first
+occurrence.  So each word that goes is in an earlier occurrence, and the first
+of all stays.  A window over the edge of an earlier passage may stand in two
+parts: one after the cut, the other in the earlier text.
+
+The windows of a passage have different hashes, so a passage that very many
+documents share is spread over as many tasks as it has windows; a task passes
+over the sorted rows and holds one of them.
 
 Exact copies are told by the hash and length of the text: only the copy with the
 smallest doc_id takes part, and the others are removable as a whole.
 
-Words are what whitespace (bytes 32 and 9 to 13) separates, compared exactly.
-Suffixes see ``min_words`` words ahead and ``min_words - anchor`` back, which is
-all that one window can need.  Where three or more different passages share an
-anchor but differ within a window, a neighbour may hide a longer left
-extension; the anchor's own words are still matched by the other suffixes.
+Words are what whitespace (bytes 32 and 9 to 13) separates; windows are equal
+if their 64-bit hashes are.
 
 Defined results: null texts and texts of fewer than ``min_words`` words have no
 passages; rows that repeat both doc_id and text are one document and get the
@@ -35,11 +33,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, remote, small_table, table
+from .common import Written, remote, table
 
 MIN_WORDS = 50
 ANCHOR = 30
@@ -48,9 +45,9 @@ _POWERS: dict[str, np.ndarray] = {}
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 SUFFIXES = "key long, doc_id long, h long, pos int"
-CONTEXTS = "key long, after binary, before binary, doc_id long, h long, pos int"
-#: kind 0: a suffix of a run; 1 and 2: the first and the last suffix of a partition.
-FOUND = "kind int, part int, run int, doc_id long, h long, pos int, back int, ahead int, first_doc long, first_h long, first_pos int, key long, after binary, before binary"
+WINDOWS = "w long, doc_id long, h long, pos int"
+#: own: where in the same text the window is first, or -1.
+REPEATS = "doc_id long, h long, pos int, own int, first_doc long"
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +91,18 @@ def anchors(hashes: np.ndarray, anchor: int) -> np.ndarray:
     return _ranges(hashes, np.arange(n), np.arange(anchor, len(hashes) + 1)) if n > 0 else np.empty(0, np.uint64)
 
 
-def minimisers(keys: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest key, the first of equals, in every ``window`` neighbouring keys."""
+def every_minimiser(keys: np.ndarray, window: int) -> np.ndarray:
+    """For each ``window`` neighbouring keys the position of the smallest, the first of equals."""
     if len(keys) < window:
         return np.empty(0, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(keys, window)
-    chosen = np.concatenate([np.arange(a, min(a + 65536, len(views))) + views[a : a + 65536].argmin(axis=1) for a in range(0, len(views), 65536)])
-    return chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))]
+    return np.concatenate([np.arange(a, min(a + 65536, len(views))) + views[a : a + 65536].argmin(axis=1) for a in range(0, len(views), 65536)])
+
+
+def minimisers(keys: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the smallest key, the first of equals, in every ``window`` neighbouring keys."""
+    chosen = every_minimiser(keys, window)
+    return chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))] if len(chosen) else chosen
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -129,96 +131,82 @@ def suffix_batches(batches, min_words, anchor):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(docs), pa.int64()), docs, h, pa.array(n_words, pa.int32())], names=["key", "doc_id", "h", "pos"])
 
 
-def context_batches(batches, min_words, anchor):
-    """For the chosen suffixes of each text the 32-bit hashes of the words after the anchor and, backwards, before it."""
-    ahead, back = min_words - anchor, min_words - anchor
+def window_batches(batches, min_words, anchor):
+    """Every window of ``min_words`` words whose minimiser is one of the chosen suffixes: its hash and place."""
     for batch in batches:
-        rows = []
-        for doc, h, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text"), batch.column("at").to_pylist(), strict=True):
+        docs, h = batch.column("doc_id"), batch.column("h")
+        for i, (text, places) in enumerate(zip(batch.column("text"), batch.column("at").to_pylist(), strict=True)):
             hashes = word_hashes(_bytes(text.as_py()))
-            keys = anchors(hashes, anchor).view(np.int64)
-            short = (hashes >> np.uint64(32)).astype(">u4")
-            for p in sorted(set(places)):
-                if p < len(keys):  # a text under the same doc_id may be shorter
-                    rows.append((int(keys[p]), short[p + anchor : p + anchor + ahead].tobytes(), short[max(0, p - back) : p][::-1].tobytes(), doc, h, p))
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-        for a in range(0, len(rows), 20_000):
-            cols = zip(*rows[a : a + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in CONTEXTS.split(", ")])
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """How many leading 4-byte words are equal."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    return next(i for i in range(0, n, 4) if a[i : i + 4] != b[i : i + 4]) // 4
-
-
-def extended(a: tuple, b: tuple, min_words: int, anchor: int) -> tuple[int, int] | None:
-    """(words back, words ahead) that two suffixes (key, after, before, ...) share, if they make a passage."""
-    if a[0] != b[0]:
-        return None
-    ahead, back = anchor + _common(a[1], b[1]), _common(a[2], b[2])
-    return (back, ahead) if back + ahead >= min_words else None
-
-
-def _place(doc, h, pos) -> tuple:
-    return (doc is None, doc or 0, h, pos)
-
-
-def neighbour_batches(batches, min_words, anchor):
-    """Compare the neighbours of one sorted partition; see FOUND for the rows."""
-    part, run = TaskContext.get().partitionId(), 0
-    out: list[tuple] = []
-    members: list[list] = []  # [doc_id, h, pos, back, ahead] of the run that is open
-    head = last = None  # the partition's first suffix with its run, the suffix before
-    head_first = None
-
-    def close(whole: bool) -> tuple:
-        first = min(members, key=lambda m: _place(*m[:3]))
-        if whole or len(members) > 1:
-            out.extend((0, part, run, *m, *first[:3], None, None, None) for m in members)
-        return tuple(first[:3])
-
-    def edge(kind, row, number, first):
-        return (kind, part, number, row[3], row[4], row[5], 0, 0, *first, row[0], row[1], row[2])
-
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    names = [x.split()[0] for x in FOUND.split(", ")]
-
-    def flush():
-        cols = list(zip(*out, strict=True))
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
+            if len(hashes) < min_words:  # a text under the same doc_id may be shorter
+                continue
+            least = every_minimiser(anchors(hashes, anchor), min_words - anchor + 1)
+            start = np.flatnonzero(np.isin(least, np.array(places)))
+            if len(start):
+                found = _ranges(hashes, start, start + min_words).view(np.int64)
+                row = pa.array(np.full(len(start), i))
+                yield pa.RecordBatch.from_arrays([pa.array(found), docs.take(row), h.take(row), pa.array(start.astype(np.int32))], names=["w", "doc_id", "h", "pos"])
+
+
+def repeat_batches(batches):
+    """Of windows sorted by (w, place) those whose w is at two places or more, each with the smallest place."""
+    held = None  # of the run that is open its first row, as a list, and whether it has been told
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if last is not None and row[0] == last[0] and row[3:] == last[3:]:
-                continue  # the same place again, from a repeated row
-            got = last and extended(last, row, min_words, anchor)
-            if last is None:
-                head = row
-            elif not got:
-                first = close(whole=run == 0)
-                head_first = first if run == 0 else head_first
-                members, run = [], run + 1
-            members.append([row[3], row[4], row[5], 0, 0])
-            if got:
-                for m in members[-2:]:
-                    m[3], m[4] = max(m[3], got[0]), max(m[4], got[1])
-            last = row
-        if len(out) > 20_000:
-            yield flush()
-    if last is not None:
-        first = close(whole=True)
-        out.append(edge(1, head, 0, head_first if run else first))
-        out.append(edge(2, last, run, first))
-        yield flush()
+        doc, absent = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        cols = [batch.column("w").to_numpy(), doc, absent, batch.column("h").to_numpy(), batch.column("pos").to_numpy()]
+        told = False
+        if held:
+            cols, told = [np.concatenate((np.array([x], c.dtype), c)) for x, c in zip(held[0], cols, strict=True)], held[1]
+        n = len(cols[0])
+        if not n:
+            continue
+        new = np.concatenate(([True], cols[0][1:] != cols[0][:-1]))
+        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        moved = np.logical_or.reduce([c != c[first] for c in cols[1:]])  # a repeated row is the same place
+        runs = np.flatnonzero(new)
+        several = np.logical_or.reduceat(moved, runs)
+        tell = np.repeat(several, np.diff(np.concatenate((runs, [n])))) & (moved | new)
+        if told:
+            tell[0] = False
+        held = ([c[runs[-1]] for c in cols], bool(several[-1] or (told and runs[-1] == 0)))
+        at = np.flatnonzero(tell)
+        if len(at):
+            to = first[at]
+            _, doc, absent, h, pos = cols
+            here = (doc[at] == doc[to]) & (absent[at] == absent[to]) & (h[at] == h[to])
+            arrays = [pa.array(doc[at], mask=absent[at]), pa.array(h[at]), pa.array(pos[at]), pa.array(np.where(here, pos[to], -1).astype(np.int32)), pa.array(doc[to], mask=absent[to])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in REPEATS.split(", ")])
+
+
+def span_batches(batches, min_words):
+    """The disjoint spans (start, end, removable) of each document from its repeated windows."""
+    for batch in batches:
+        out = []
+        for at in batch.column("at"):
+            found = at.values
+            pos, own = (found.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("pos", "own"))
+            n = int(pos.max()) + min_words + 1
+            every = covered(pos, pos + min_words, n)
+            later = own != pos
+            # A window that overlaps its own first occurrence leaves that one whole.
+            cut = covered(np.where(own >= 0, np.maximum(pos, own + min_words), pos)[later], pos[later] + min_words, n)
+            state = every.astype(np.int8) + cut
+            edges = np.flatnonzero(np.diff(state)) + 1
+            bounds = [0, *edges.tolist(), n]
+            out.append([{"start": x, "end": y, "removable": bool(state[x] == 2)} for x, y in zip(bounds, bounds[1:], strict=False) if state[x]])
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("removable", pa.bool_())]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(out, kind), batch.column("first_docs")], names=["doc_id", "h", "spans", "first_docs"])
+
+
+def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words are in some range."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends, -1)
+    return np.cumsum(edge)[:n] > 0
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, h, start, end, removable, first_doc): word spans that occur elsewhere too; h is xxhash64 of the text."""
+def passages_by_document(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, h, spans, first_docs): a row for each document with a repeated passage; spans (start, end, removable); h is xxhash64 of the text."""
     spark = docs.sparkSession
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
     kept = Written(rows.select("doc_id", "h", "text").mapInArrow(remote("lamina.llm.suffixes:suffix_batches", min_words, anchor), SUFFIXES), "suffixes")
@@ -232,60 +220,28 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int =
     place = F.xxhash64("h", "pos")
     anchored = suffixes.where("key is not null")
     shared = Written(anchored.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key"), "anchors").df
-    chosen = anchored.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))  # bounded by the text's length
-    chosen = Written(chosen.join(others.select("doc_id").distinct(), "doc_id", "left_anti") if others.take(1) else chosen, "chosen").df
-    joined = rows.join(chosen.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", "h", "text", "at")
-    contexts = Written(joined.mapInArrow(remote("lamina.llm.suffixes:context_batches", min_words, anchor), CONTEXTS), "contexts")
-    kept.drop()
-    order = ["key", "after", "before", "doc_id", "h", "pos"]
+    chosen = anchored.join(shared, "key", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("pos").alias("at"))  # bounded by the text's length
+    same = lambda doc, h: F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col("h") == F.col(h))
+    chosen = chosen.join(others.select(F.col("doc_id").alias("other"), F.col("h").alias("other_h")), same("other", "other_h"), "left_anti")
+    chosen = Written(chosen.select(F.col("doc_id").alias("own"), F.col("h").alias("own_h"), "at"), "chosen").df
+    joined = rows.join(chosen, same("own", "own_h")).select("doc_id", "h", "text", "at")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = contexts.df.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = Written(ordered.mapInArrow(remote("lamina.llm.suffixes:neighbour_batches", min_words, anchor), FOUND), "found").df
-    contexts.drop()
-    merged, spans = bridges(found.where("kind > 0").collect(), min_words, anchor)  # two rows for each partition
-    runs = small_table(spark, merged, "part int, run int, to_doc long, to_h long, to_pos int")
-    inside = found.where("kind = 0").join(F.broadcast(runs), ["part", "run"], "left")
-    known = F.col("to_h").isNotNull()
-    first = [F.when(known, F.col(a)).otherwise(F.col(b)) for a, b in (("to_doc", "first_doc"), ("to_h", "first_h"), ("to_pos", "first_pos"))]
-    is_first = F.col("doc_id").eqNullSafe(first[0]) & (F.col("h") == first[1]) & (F.col("pos") == first[2])
-    inside = inside.where("ahead > 0").select("doc_id", "h", (F.col("pos") - F.col("back")).alias("start"), (F.col("pos") + F.col("ahead")).alias("end"), (~is_first).alias("removable"), first[0].alias("first_doc"))
-    across = small_table(spark, spans, "doc_id long, h long, start int, end int, removable boolean, first_doc long")
-    entire = copies.select("doc_id", "h", F.lit(0).alias("start"), F.col("n_words").alias("end"), (~F.col("doc_id").eqNullSafe(F.col("rep"))).alias("removable"), F.col("rep").alias("first_doc"))
-    return inside.unionByName(across).unionByName(entire)
-
-
-def bridges(edges: list, min_words: int, anchor: int) -> tuple[list[tuple], list[tuple]]:
-    """From the outer suffixes of all partitions: (part, run, first place) of runs that go on in the next partition, and the spans that only a neighbour there shows."""
-    by_part: dict[int, dict[int, tuple]] = {}
-    for e in edges:
-        by_part.setdefault(e["part"], {})[e["kind"]] = e
-    order = sorted(by_part)
-    shape = lambda e: (e["key"], bytes(e["after"]), bytes(e["before"]))
-    own = lambda e: (e["doc_id"], e["h"], e["pos"])
-    chains: list[list[tuple]] = []  # runs (part, run, first place) that are one
-    matches: list[tuple] = []
-    for p, q in zip(order, order[1:], strict=False):
-        last, head = by_part[p][2], by_part[q][1]
-        same = own(last) == own(head) and last["key"] == head["key"]
-        got = None if same else extended(shape(last), shape(head), min_words, anchor)
-        if not (same or got):
-            continue
-        a, b = ((e["part"], e["run"], (e["first_doc"], e["first_h"], e["first_pos"])) for e in (last, head))
-        if not chains or chains[-1][-1][:2] != a[:2]:
-            chains.append([a])
-        chains[-1].append(b)
-        if got:
-            matches += [(last, got, len(chains) - 1), (head, got, len(chains) - 1)]
-    firsts = [min((c[2] for c in chain), key=lambda x: _place(*x)) for chain in chains]
-    merged = [(part, run, *firsts[i]) for i, chain in enumerate(chains) for part, run, _ in chain]
-    spans = [(e["doc_id"], e["h"], e["pos"] - back, e["pos"] + ahead, own(e) != firsts[i], firsts[i][0]) for e, (back, ahead), i in matches]
-    return sorted(set(merged)), spans
+    order = ["w", F.col("doc_id").asc_nulls_last(), "h", "pos"]
+    windows = joined.mapInArrow(remote("lamina.llm.suffixes:window_batches", min_words, anchor), WINDOWS).repartition(parts, "w").sortWithinPartitions(*order)
+    repeats = Written(windows.mapInArrow(remote("lamina.llm.suffixes:repeat_batches"), REPEATS), "repeats").df
+    kept.drop()
+    grouped = repeats.groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "own")).alias("at"), F.collect_set("first_doc").alias("first_docs"))  # bounded by the text's length
+    spans = "array<struct<start:int,end:int,removable:boolean>>"
+    inside = grouped.mapInArrow(remote("lamina.llm.suffixes:span_batches", min_words), f"doc_id long, h long, spans {spans}, first_docs array<long>")
+    removable = ~F.col("doc_id").eqNullSafe(F.col("rep"))
+    entire = copies.select("doc_id", "h", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end"), removable.alias("removable"))).cast(spans).alias("spans"), F.array("rep").alias("first_docs"))
+    both = inside.unionByName(entire).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("first_docs")).alias("first_docs"))
+    return both.select("doc_id", "h", F.array_sort(F.array_distinct("spans")).alias("spans"), F.array_sort(F.array_distinct(F.filter("first_docs", lambda x: x.isNotNull()))).alias("first_docs"))
 
 
-def passages_by_document(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, h, spans, first_docs): a row for each document with a repeated passage; spans (start, end, removable) as found, overlapping."""
-    spans = repeated_passages(docs, min_words, anchor)
-    return spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "end", "removable"))).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, h, start, end, removable): word spans that occur elsewhere too."""
+    return passages_by_document(docs, min_words, anchor).select("doc_id", "h", F.explode("spans").alias("s")).select("doc_id", "h", "s.*")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

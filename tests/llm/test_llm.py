@@ -426,6 +426,60 @@ def test_cutting_keeps_first_occurrences(docs, empty):
     assert suffixes.cut_repeats(empty).count() == 0
 
 
+def repeated_in(rows):
+    """{window: places} of the 50-word windows at several places."""
+    seen = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 49):
+            seen.setdefault(tuple(w[i : i + 50]), []).append((d, i))
+    return {w: p for w, p in seen.items() if len(p) > 1}
+
+
+def found_in(spark, rows):
+    got, cut = set(), set()
+    for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.update((r.doc_id, i) for i in range(r.start, r.end))
+        cut.update((r.doc_id, i) for i in range(r.start, r.end) if r.removable)
+    return got, cut
+
+
+def test_cut_words_stay_in_an_earlier_occurrence(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    rows, n = [], 0
+    for _ in range(20):  # the first holds a part of what the others share
+        passage = rng.choices(words, k=120)
+        for part in (passage[: rng.randint(50, 70)], passage, passage):
+            rows.append((n, " ".join([*rng.choices(words, k=30), *part, *rng.choices(words, k=30)])))
+            n += 1
+    rows += [(n, " ".join(rng.choices(words, k=10) * 20)), (n + 1, rows[1][1]), (n + 2, rows[0][1] + " " + rows[5][1])]
+    windows = repeated_in(rows)
+    got, cut = found_in(spark, rows)
+    assert got == {(d, i + k) for places in windows.values() for d, i in places for k in range(50)}
+    label = {x: x for x in got}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for places in windows.values():
+        assert sum(not any((d, i + k) in cut for k in range(50)) for d, i in places) <= 1
+        for d, i in places[1:]:
+            for k in range(50):
+                a, b = sorted((find((places[0][0], places[0][1] + k)), find((d, i + k))))
+                label[b] = a
+    stays = {find(x) for x in got - cut}
+    assert all(find(x) in stays for x in cut)
+    left = {d: " ".join(w for i, w in enumerate(t.split()) if (d, i) not in cut) for d, t in rows}
+    for i in range(0, 60, 3):  # the words after the first's part stay, in one piece
+        shared = 50 + next(k for k in range(50, 71) if rows[i][1].split()[30 + k] != rows[i + 1][1].split()[30 + k]) - 50
+        passage = rows[i + 1][1].split()[30:150]
+        assert any(" ".join(passage[:shared]) in t for t in left.values())
+        assert any(" ".join(passage[shared:]) in t for t in left.values())
+
+
 # Media.
 
 
