@@ -480,6 +480,21 @@ def test_cut_words_stay_in_an_earlier_occurrence(spark):
         assert any(" ".join(passage[shared:]) in t for t in left.values())
 
 
+def test_passages_are_found_beside_many_quotes_of_a_part(spark):
+    rng = random.Random(22)
+    words = [f"w{i}" for i in range(5000)]
+    rows, n = [], 0
+    for size in [50, 51, 52, 55, 60] * 6:
+        passage = rng.choices(words, k=size)
+        for k in [size, *[0] * 50, size]:
+            k = k or rng.randint(35, 48)
+            a = rng.randint(0, size - k)
+            rows.append((n, " ".join([*rng.choices(words, k=25), *passage[a : a + k], *rng.choices(words, k=25)])))
+            n += 1
+    want = {(d, i + k) for places in repeated_in(rows).values() for d, i in places for k in range(50)}
+    assert found_in(spark, rows)[0] == want
+
+
 # Media.
 
 
