@@ -5,11 +5,13 @@ n-grams of one to three bytes are counted in hashed dimensions over the whole
 text.  Counts are damped, weighted by inverse document frequency and
 normalised.  Each language has several centroids from spherical k-means, and a
 text takes the language of the centroid with the largest cosine.  A text
-farther from all centroids than the training texts ever were, by a margin, is
-``rejected``.
+farther from all centroids than nearly all known texts of that language and
+about that length, by a margin, is ``rejected``.
 
 The model is fitted on a bounded sample: rows of each language are kept where a
-hash of doc_id falls under ``per_language`` divided by the language's rows.
+hash of doc_id falls under ``per_language`` divided by the language's rows.  The
+limits for rejection come from as many rows outside it, from their beginnings
+of several lengths, as short texts have smaller cosines.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and rejected; without any labelled row every text is ``und``; of equal cosines
@@ -33,7 +35,10 @@ from .common import remote, table
 DIMENSIONS = 4096
 PER_LANGUAGE = 500
 CLUSTERS = 4
-REJECT_MARGIN = 0.5
+#: A text is rejected under this share of the cosine that this quantile of known texts of its language and length has.
+REJECT_MARGIN, REJECT_QUANTILE = 0.8, 0.01
+#: Characters of the beginnings of known texts on which the limits are measured.
+LENGTHS = (8, 16, 32, 64, 128, 256, 512, 1024, 4096, 16384)
 SHARPNESS = 25.0
 _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -59,7 +64,13 @@ class Centroids:
     idf: np.ndarray
     vectors: np.ndarray  # centroids by row
     owner: np.ndarray  # the language number of each centroid
-    least: float  # smaller best cosines are rejected
+    least: np.ndarray  # by language and LENGTHS: smaller best cosines are rejected
+
+    def limits(self, language: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The limit for each text of so many letters and blanks."""
+        at = np.log(np.maximum(letters, 1))
+        every = np.stack([np.interp(at, np.log(LENGTHS), row) for row in self.least])
+        return every[language, np.arange(len(language))]
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
         weighted = np.log1p(counts, dtype=np.float32) * self.idf
@@ -75,7 +86,7 @@ class Centroids:
 def fit(counts: np.ndarray, langs: list[str], clusters: int = CLUSTERS, rounds: int = 12) -> Centroids:
     names = sorted(set(langs))
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Centroids(names, idf, np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), -1.0)
+    model = Centroids(names, idf, np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), np.full((len(names), len(LENGTHS)), -1.0))
     vectors = model.vector(counts)
     label = np.array([names.index(x) for x in langs])
     found, owner = [], []
@@ -93,8 +104,6 @@ def fit(counts: np.ndarray, langs: list[str], clusters: int = CLUSTERS, rounds:
         found.append(centres)
         owner += [i] * len(centres)
     model.vectors, model.owner = np.concatenate(found), np.array(owner)
-    best = (vectors @ model.vectors.T).max(axis=1)
-    model.least = float(best.min()) * REJECT_MARGIN
     return model
 
 
@@ -111,33 +120,61 @@ def predict_batches(batches, model):
         langs, scores, best, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
         for at in range(0, len(known), 256):
             some = known[at : at + 256]
-            cos = model.cosines(model.vector(np.stack([ngram_counts(texts[i]) for i in some])))
+            counts = np.stack([ngram_counts(texts[i]) for i in some])
+            cos = model.cosines(model.vector(counts))
             top = cos.argmax(axis=1)
             soft = np.exp(SHARPNESS * (cos - cos.max(axis=1, keepdims=True)))
             best[some] = cos.max(axis=1).astype(np.float64)
             scores[some] = 1 / soft.sum(axis=1)
-            rejected[some] = best[some] < model.least
+            rejected[some] = best[some] < model.limits(top, counts.sum(axis=1) // 3)
             for i, k in zip(some, top, strict=True):
                 langs[i] = model.languages[k]
         arrays = [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(best), pa.array(rejected)]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score", "cosine", "rejected"])
 
 
+def measured_batches(batches, model):
+    """The best cosine of the beginnings of each text, by their length."""
+    for batch in batches:
+        rows = []
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            parts = [(k, text[:n]) for k, n in enumerate(LENGTHS) if len(text) >= n and _LETTER.search(text[:n])]
+            if parts:
+                cos = model.cosines(model.vector(np.stack([ngram_counts(x) for _, x in parts]))).max(axis=1)
+                rows += [(lang, k, float(c)) for (k, _), c in zip(parts, cos, strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.float64()), strict=True)], names=["lang", "k", "cosine"])
+
+
+def calibrate(model: Centroids, rows: DataFrame) -> None:
+    """Set the limits from rows outside the fit; a length without any takes the limit of the next shorter one."""
+    got = rows.select("lang", "text").mapInArrow(remote("lamina.llm.langid:measured_batches", model), "lang string, k int, cosine double").toArrow()
+    langs, k, cosine = np.array(got.column("lang").to_pylist()), got.column("k").to_numpy(), got.column("cosine").to_numpy()
+    for i, name in enumerate(model.languages):
+        before = -1.0
+        for n in range(len(LENGTHS)):
+            own = cosine[(langs == name) & (k == n)]
+            before = model.least[i, n] = float(np.quantile(own, REJECT_QUANTILE)) * REJECT_MARGIN if len(own) else before
+
+
 def fit_on(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE) -> Centroids | None:
     """A model from the rows of (doc_id, text, lang) where ``train`` holds and lang is known."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    share = {r["lang"]: min(1.0, per_language / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    share = {r["lang"]: min(0.75, per_language / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not share:
         return None
     limits = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * 2**20)))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < limits[F.col("lang")])
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(2**20))
+    sample = rows.where(at < limits[F.col("lang")])
     got = sample.select("lang", "text").mapInArrow(remote("lamina.llm.langid:count_batches"), "lang string, counts binary").toArrow()
     langs = got.column("lang").to_pylist()
     if not langs:
         return None
     both = sorted(zip(langs, got.column("counts").to_pylist(), strict=True))  # the order of arrival may change
     del got
-    return fit(np.stack([np.frombuffer(x, "<i4").astype(np.float32) for _, x in both]), [lang for lang, _ in both])
+    model = fit(np.stack([np.frombuffer(x, "<i4").astype(np.float32) for _, x in both]), [lang for lang, _ in both])
+    calibrate(model, rows.where((at >= limits[F.col("lang")]) & (at < 2 * limits[F.col("lang")])))
+    return model
 
 
 def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:

@@ -301,6 +301,22 @@ def test_language_of_held_out_texts(spark, empty):
     assert langid.keep_known(empty).count() == 0
 
 
+def test_what_is_no_language_of_the_corpus_is_rejected(spark):
+    import base64
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_on(docs, langid.fold(4) != 2)
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    strange = [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(1000)), base64.b64encode(rng.randbytes(3000)).decode(), "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. " * 3]
+    rows = [(-1 - i, t) for i, t in enumerate(strange)]
+    held = [r for r in docs.where(langid.fold(4) == 2).collect() if r.text and len(r.text) >= 200]
+    rows += [(r.doc_id, r.text[:n]) for r in held for n in (40, 200)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert [r.rejected for r in got if r.doc_id < 0] == [True] * 3
+    assert sum(r.rejected for r in got if r.doc_id >= 0) <= 0.03 * 2 * len(held)
+
+
 # Toxicity.
 
 
