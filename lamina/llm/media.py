@@ -20,9 +20,7 @@ Files are encoded and decoded a bounded number of MCUs at a time.
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,7 +34,7 @@ MCU = 192
 MOST_ROWS = 8191  # MCU rows; a JPEG has at most 65,535 lines
 AT_ONCE = 4096  # MCUs
 DC_STEP = 4  # the DC quantiser; thumbnails are coefficient * step / 8 + 128
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload binary, media binary, width int, height int, thumbnail_hash long"
 
 # Symbols in order of code length: category 8 has one bit, everything else five (DC) or nine (AC).
 DC_CODES = [[8], [], [], [], [c for c in range(12) if c != 8]]
@@ -404,17 +402,25 @@ def media_batches(batches):
             for i, (file, (image, coefficients)) in enumerate(zip(files, read_files(files), strict=True), at - len(some)):
                 payload, thumb = payload_of(image, coefficients), thumbnail(image, coefficients)
                 n = len((texts[i].as_py() or "").encode())
-                rows.append((docs[i], n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), f"{image.width}x{image.height}:{thumbnail_hash(thumb):016x}"))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((docs[i], n, payload, file, image.width, image.height, int(np.uint64(thumbnail_hash(thumb)).view(np.int64))))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Digests of the file and of the payload read back from it, and dimensions with the thumbnail's hash, for every text."""
+def media_files(docs: DataFrame) -> DataFrame:
+    """For every text its file, the payload read back from it, dimensions and the thumbnail's hash."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(remote("lamina.llm.media:media_batches"), SCHEMA)
 
 
+def media_digests(docs: DataFrame) -> DataFrame:
+    """Digests of the file and of the payload read back from it, and dimensions with the thumbnail's hash, for every text."""
+    feature = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit(":"), F.lpad(F.lower(F.hex("thumbnail_hash")), 16, "0"))
+    payload, media = F.col("payload"), F.col("media")
+    digests = [F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -16, 16)).alias("tail_crc32"), F.octet_length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256")]
+    return media_files(docs).select("doc_id", "n_bytes", *digests, feature.alias("feature"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents stored as a baseline JPEG and read back."""
     return media_digests(table(spark, sf_dir, "documents"))

@@ -30,7 +30,8 @@ from .bpe import default_path, encoder
 from .common import Written, remote, table
 
 CAPACITY = 2048
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>, task int, nth long"
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>, sequence_id long, offset long"
 
 
 def fullest(counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -94,16 +95,16 @@ def piece_batches(batches, path, capacity, end_id):
     task = TaskContext.get().partitionId()
     seen = np.zeros(capacity + 1, np.int64)
     end = np.array([end_id], np.uint32)
-    for batch in batches:
-        cols: list[list] = [[] for _ in range(7)]
+    for batch in (some.slice(at, 1000) for some in batches for at in range(0, some.num_rows, 1000)):
+        cols: list[list] = [[] for _ in range(8)]
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             ids = np.concatenate((enc.encode(text.as_py() or ""), end)).astype("<u4")
             cuts = [*range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
             for piece, (a, b) in enumerate(zip([0, *cuts], cuts, strict=False)):
-                for col, x in zip(cols, (doc, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), task, int(seen[b - a])), strict=True):
+                for col, x in zip(cols, (doc, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b].view(np.int32), task, int(seen[b - a])), strict=True):
                     col.append(x)
                 seen[b - a] += 1
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
 
@@ -123,7 +124,7 @@ def place_batches(batches, places, names):
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each text."""
+    """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset) for each piece of each text; ids are its tokens."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = Written(rows.mapInArrow(remote("lamina.llm.packing:piece_batches", path or default_path(), capacity, end_id), PIECES), "pieces").df
     totals = Written(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-totals").df
@@ -134,11 +135,11 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(F.col("task").alias("t"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     ranked = pieces.join(Written(starts, "piece-starts").df, (F.col("task") == F.col("t")) & (F.col("length") == F.col("l")))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
     placed = ranked.select(*names, (F.col("before") + F.col("nth")).alias("rank"))
-    return placed.mapInArrow(remote("lamina.llm.packing:place_batches", places, names), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.mapInArrow(remote("lamina.llm.packing:place_batches", places, names), PLACED)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents")).drop("ids")

@@ -280,6 +280,12 @@ def test_packing_places_all_tokens(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packed_pieces_hold_their_tokens(docs):
+    got = packing.pack(docs).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+    assert packing.pack(docs).drop("ids").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 # Language.
 
 
@@ -541,6 +547,17 @@ def test_media_operator(docs, empty):
     assert media.media_digests(empty).count() == 0
 
 
+def test_media_files_are_kept(docs):
+    texts = Counter((d, media.padded(t)) for d, t in rows_of(docs))
+    got = media.media_files(docs).collect()
+    assert Counter((r.doc_id, bytes(r.payload)) for r in got) == texts
+    assert all(media.payload_of(*media.read_files([bytes(r.media)])[0]) == r.payload for r in got[:20])
+    import hashlib
+
+    want = Counter((r.doc_id, len(r.payload), hashlib.sha256(r.payload).hexdigest(), zlib.crc32(r.payload[-16:]), len(r.media), hashlib.sha256(r.media).hexdigest(), f"{r.width}x{r.height}:{r.thumbnail_hash % 2**64:016x}") for r in got)
+    assert Counter((r.doc_id, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in media.media_digests(docs).collect()) == want
+
+
 # Neighbours.
 
 
