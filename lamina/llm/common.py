@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -97,12 +98,69 @@ class Written:
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        _SCOPES[-1].append(self)
 
     def drop(self) -> None:
         """Delete the files; only when nothing will read the table again."""
         spark = self.df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for scope in _SCOPES:
+            if self in scope:
+                scope.remove(self)
+
+
+#: The tables written in each open scope; what no scope holds stays until ``drop_all``.
+_SCOPES: list[list[Written]] = [[]]
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[Written], Written]]:
+    """A scope at whose end the tables written in it are dropped, but not those given to the function it yields."""
+    kept: list[Written] = []
+    _SCOPES.append([])
+    try:
+        yield lambda x: kept.append(x) or x
+    finally:
+        left = _SCOPES.pop()
+        _SCOPES[-1].extend(x for x in left if x in kept)
+        for x in left:
+            if x not in kept:
+                x.drop()
+
+
+def drop_all() -> None:
+    """Delete every table that operators have left; only when their results have been read or written."""
+    for x in list(_SCOPES[0]):
+        x.drop()
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that no column has, whatever its case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def attach(rows: DataFrame, facts: DataFrame, keys: list[str], share: int = 200) -> DataFrame:
+    """``rows`` joined by ``keys`` with ``facts``, which has one row for each key and the number ``n`` of its rows.
+
+    A key that holds more than one row in ``share`` is hot; fewer than ``share``
+    keys can be, so their facts are broadcast, and the others meet by a shuffle.
+    ``rows`` and ``facts`` are read twice and should be written tables.
+    """
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    hot = facts.where(F.col("n") * share > total)
+    if not hot.limit(1).count():
+        return rows.join(facts, keys)
+    cold = facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+def shares(counts: dict, k: int) -> dict:
+    """For each key of ``counts`` rows the number under which a hash of 63 bits keeps about ``k`` of them (at most all)."""
+    return {key: (1 << 63) - 1 if n <= k else max(1, (k << 63) // n) for key, n in counts.items()}
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

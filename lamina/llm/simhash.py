@@ -17,7 +17,7 @@ reach within two bits, by prefix filtering over the shingles: see there.
 
 Defined results: null and wordless texts have fingerprint zero and are linked
 like any other; fewer words than a shingle make one shingle of all; null
-doc_ids are kept and never name a component unless all its ids are null;
+doc_ids are kept and name a component only if all its ids are null;
 repeated rows all come back; an empty table gives an empty result; other
 columns are ignored by ``simhash_components``.
 """
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, components, remote, table
+from .common import Written, attach, components, fresh, remote, scratch, table
 
 #: One text of so many is read to find common shingles, of which at most so many are told apart.
 SAMPLE, COMMON = 16, 100_000
@@ -102,13 +102,14 @@ def links(prints: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, fp long, component_id): component_id is the smallest doc_id reachable over links of at most two bits."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = Written(rows.mapInArrow(remote("lamina.llm.simhash:fingerprint_batches", shingle), "doc_id long, fp long"), "prints").df
-    groups = Written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "groups").df
-    labels = Written(components(links(groups.select(F.lit(0).alias("s"), "fp", F.col("fp").alias("node")))), "labels").df
-    named = groups.join(labels, groups.fp == labels.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_print = Written(named.join(least, "label").select("fp", "component_id"), "by-print").df
-    return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    with scratch() as keep:
+        marked = keep(Written(rows.mapInArrow(remote("lamina.llm.simhash:fingerprint_batches", shingle), "doc_id long, fp long"), "prints")).df
+        groups = Written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "groups").df
+        labels = Written(components(links(groups.select(F.lit(0).alias("s"), "fp", F.col("fp").alias("node")))), "labels").df
+        named = groups.join(labels, groups.fp == labels.node, "left").select("fp", "n", "rep", F.coalesce("label", "fp").alias("label"))
+        least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+        by_print = keep(Written(named.join(least, "label").select("fp", "n", "component_id"), "by-print")).df
+    return attach(marked, by_print, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,15 +157,15 @@ def sampled_batches(batches, shingle):
 
 
 def prefix_batches(batches, shingle, similarity, common):
-    """(doc_id, two hashes and the size of the shingle set, its prefix)."""
+    """(doc_id, h, two hashes and the size of the shingle set, its prefix)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             sets = [shingle_set(x.as_py(), shingle) for x in part.column("text")]
             marks = [[xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets] for seed in (1, 2)]
             heads = [in_order(x, common)[: prefix_length(len(x), similarity)].view(np.int64) if len(x) else x.view(np.int64) for x in sets]
-            arrays = [part.column("doc_id"), *(pa.array(np.array(m, np.uint64).view(np.int64)) for m in marks), pa.array([len(x) for x in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "x", "y", "n", "prefix"])
+            arrays = [part.column("doc_id"), part.column("h"), *(pa.array(np.array(m, np.uint64).view(np.int64)) for m in marks), pa.array([len(x) for x in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "x", "y", "n", "prefix"])
 
 
 def set_batches(batches, shingle):
@@ -172,81 +173,96 @@ def set_batches(batches, shingle):
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             sets = [shingle_set(x.as_py(), shingle).view(np.int64) for x in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
 
 
 def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
     """(hash, rank) of the shingles that many texts of a sample have; they only set the order, so a sample loses no pair."""
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SAMPLE)) == 0).select("text")
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(SAMPLE)) == 0).select("text")
     counts = sample.mapInArrow(remote("lamina.llm.simhash:sampled_batches", shingle), "k long").groupBy("k").agg(F.count("*").alias("n")).where("n > 2")
-    got = counts.orderBy(F.desc("n"), "k").limit(COMMON).collect()
-    found = np.zeros(len(got), [("hash", np.uint64), ("rank", np.int64)])
-    found["hash"] = np.array([r["k"] for r in got], np.int64).view(np.uint64)
-    found["rank"] = len(got) - np.arange(len(got))
+    got = counts.orderBy(F.desc("n"), "k").limit(COMMON).toArrow()
+    found = np.zeros(got.num_rows, [("hash", np.uint64), ("rank", np.int64)])
+    found["hash"] = got.column("k").to_numpy().view(np.uint64)
+    found["rank"] = got.num_rows - np.arange(got.num_rows)
     return np.sort(found, order="hash")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of all documents with words, and (node, label) of the linked nodes.
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, h, first_doc, first_h): for each document with words the first document of its group.
 
-    A node is a set of shingles, named by its smallest doc_id.  Nodes are linked
-    exactly if the Jaccard similarity of their sets is ``similarity`` or more.
-    Two such sets share a shingle of their prefixes, so all pairs that can be
-    alike meet.  First each node is compared with the smallest one it meets at
-    each shingle; then all that meet and are not connected yet are compared, if
-    they share as many shingles of their prefixes as alike ones must.
+    A document is a doc_id with a text, told by the text's hash h; the first is
+    the one with the smallest doc_id, then h.  Rows without a doc_id are left
+    out.  Documents of one set of shingles are one node; nodes are linked exactly
+    if the Jaccard similarity of their sets is ``similarity`` or more.  Two such sets share a
+    shingle of their prefixes, so all pairs that can be alike meet.  First each
+    node is compared with the smallest one it meets at each shingle; then all
+    that meet and are not connected yet are compared, if they share as many
+    shingles of their prefixes as alike ones must.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prefixes = rows.mapInArrow(remote("lamina.llm.simhash:prefix_batches", shingle, similarity, common_shingles(rows, shingle)), "doc_id long, x long, y long, n int, prefix array<long>")
-    marked = Written(prefixes, "prefixes").df.where("n > 0")
-    named = Written(marked.groupBy("x", "y", "n").agg(F.min("doc_id").alias("node")), "nodes").df
-    members = marked.join(named, ["x", "y", "n"]).select("doc_id", "node")
-    # Rows under one doc_id may differ; then the first of their sets has its name.
-    heads = marked.join(named, ["x", "y", "n"]).where("doc_id = node").select("node", "n", "x", "y", "prefix").dropDuplicates(["node", "n", "x", "y"])
-    keys = heads.select(F.explode("prefix").alias("k"), "node", "n")
-    shared = keys.groupBy("k").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("k", "least")
-    met = Written(keys.join(shared, "k"), "met").df
-    size = named.select(F.col("node").alias("least"), F.col("n").alias("n_least")).groupBy("least").agg(F.min("n_least").alias("n_low"), F.max("n_least").alias("n_high"))
-    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    stars = met.where("node <> least").select("node", "n", "least").distinct().join(size, "least")
-    stars = Written(stars.where((F.col("n") >= similarity * F.col("n_low") - 1e-9) & (F.col("n_high") >= similarity * F.col("n") - 1e-9)).select(F.col("node").alias("a"), F.col("least").alias("b")), "stars").df
-    close = Written(alike(rows, stars, shingle, similarity), "close").df
-    labels = Written(components(close), "labels").df
-    placed = Written(met.select("k", "node", "n").join(labels, "node", "left").select("k", "node", "n", F.coalesce("label", "node").alias("label")), "placed").df
-    open_ = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
-    left = Written(placed.join(open_, "k"), "open").df
-    one, two = (left.select("k", *(F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "label"))) for i in "ab")
-    pairs = one.join(two, "k").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fits(F.col("n_a"), F.col("n_b")))
-    # Beyond the prefix that ends first a set has n - prefix shingles, which is the floor of similarity * n or one less.
-    most_beyond = similarity * F.greatest("n_a", "n_b") + 1
-    enough = F.col("c") >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - most_beyond
-    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("c")).where(enough)
-    pairs = Written(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs").df
-    linked = Written(components(close.unionByName(alike(rows, pairs, shingle, similarity))), "linked").df
-    return members, linked
-
-
-def alike(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts' shingle sets are ``similarity`` alike."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = Written(rows.join(wanted, "doc_id", "left_semi").mapInArrow(remote("lamina.llm.simhash:set_batches", shingle), "node long, own array<long>"), "sets").df
+    text = F.col("text").cast("string")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    with scratch() as keep:
+        prefixes = rows.mapInArrow(remote("lamina.llm.simhash:prefix_batches", shingle, similarity, common_shingles(rows, shingle)), "doc_id long, h long, x long, y long, n int, prefix array<long>")
+        # Both are written, so rows and nodes keep their numbers.
+        marked = keep(Written(prefixes.where("n > 0").withColumnRenamed("n", "size").withColumn("row", F.monotonically_increasing_id()), "prefixes")).df
+        first = F.min(F.struct("doc_id", "h", "row")).alias("first")
+        named = marked.groupBy("x", "y", "size").agg(first, F.count("*").alias("n"))
+        named = Written(named.select("*", F.monotonically_increasing_id().alias("node")), "nodes").df
+        own = named.select("node", "first.*")
+        keys = marked.select("row", "prefix", F.col("size").alias("n")).join(own.select("row", "node"), "row").select(F.explode("prefix").alias("k"), "node", "n")
+        shared = keys.groupBy("k").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("k", "least")
+        met = Written(keys.join(shared, "k"), "met").df
+        size = named.select(F.col("node").alias("least"), F.col("size").alias("n_least"))
+        fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+        stars = met.where("node <> least").select("node", "n", "least").distinct().join(size, "least").where(fits(F.col("n"), F.col("n_least")))
+        stars = Written(stars.select(F.col("node").alias("a"), F.col("least").alias("b")), "stars").df
+        close = Written(alike(rows, own, stars, shingle, similarity), "close").df
+        labels = Written(components(close), "labels").df
+        placed = Written(met.select("k", "node", "n").join(labels, "node", "left").select("k", "node", "n", F.coalesce("label", "node").alias("label")), "placed").df
+        open_ = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
+        # Alike sets are of one class of sizes or of neighbouring classes.
+        step = -math.log(similarity)
+        left = Written(placed.join(open_, "k").withColumn("c", F.floor(F.log("n") / step + 1e-9)), "open").df
+        one, two = (left.select("k", "c", *(F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "label"))) for i in "ab")
+        two = two.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+        pairs = one.join(two, ["k", "c"]).where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fits(F.col("n_a"), F.col("n_b")))
+        # Beyond the prefix that ends first a set has n - prefix shingles, which is the floor of similarity * n or one less.
+        most_beyond = similarity * F.greatest("n_a", "n_b") + 1
+        enough = F.col("shared") >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - most_beyond
+        pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(enough)
+        pairs = Written(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs").df
+        linked = Written(components(close.unionByName(alike(rows, own, pairs, shingle, similarity))), "linked").df
+        grouped = named.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        firsts = grouped.groupBy("label").agg(F.min("first").alias("first"))
+        by_set = keep(Written(grouped.drop("first").join(firsts, "label").select("x", "y", "size", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.h").alias("first_h")), "firsts")).df
+    return attach(marked.select("doc_id", "h", "x", "y", "size"), by_set, ["x", "y", "size"]).select("doc_id", "h", "first_doc", "first_h")
+
+
+def alike(rows: DataFrame, own: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are ``similarity`` alike; ``own`` has (node, doc_id, h) of a document of each node."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = own.join(wanted, "node").select("node", F.col("doc_id").alias("own_doc"), F.col("h").alias("own_h"))
+    texts = rows.join(wanted, (F.col("doc_id") == F.col("own_doc")) & (F.col("h") == F.col("own_h"))).select("node", "text")
+    sets = Written(texts.mapInArrow(remote("lamina.llm.simhash:set_batches", shingle), "node long, own array<long>"), "sets").df
     one, two = (sets.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("own_a", "own_b")))
     return both.where(F.col("same") >= similarity * (F.size("own_a") + F.size("own_b") - F.col("same")) - 1e-9).select("a", "b")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id, all columns as they were.
+    """Of each group of near-duplicates the first document, all columns as they were.
 
-    Rows that repeat that doc_id are repeats of one document; one of them stays.
-    Rows without a doc_id or without words are in no group and all stay.
+    Of rows that repeat both doc_id and text of such a document one stays; rows
+    of one doc_id with unlike texts are different documents.  Rows without a
+    doc_id or without words are in no group and all stay.
     """
-    members, labels = near_copies(docs, shingle, similarity)
-    roots = F.coalesce(F.col("label"), F.col("node"))
-    gone = members.join(labels, "node", "left").where(F.col("doc_id") != roots).select(F.col("doc_id").alias("gone"))
-    gone = Written(gone.distinct(), "gone").df
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
-    repeated = members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if repeated:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    found = near_copies(docs, shingle, similarity)
+    stays = (F.col("doc_id") == F.col("first_doc")) & (F.col("h") == F.col("first_h"))
+    doc, h, fate = (fresh(x, docs.columns) for x in ("near_doc", "near_h", "near_fate"))
+    # Of interest: documents that go, and rows that repeat one that stays.
+    fates = found.groupBy(F.col("doc_id").alias(doc), F.col("h").alias(h)).agg(F.max(F.when(stays, 2).otherwise(1)).alias(fate), F.count("*").alias("n"))
+    fates = Written(fates.where(f"{fate} = 1 or n > 1").select(doc, h, fate), "fates").df
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
+    once = docs.join(fates, same, "left_anti")
+    repeated = docs.join(fates.where(f"{fate} = 2"), same).dropDuplicates([doc, h]).select(*[f"`{c}`" for c in docs.columns])
+    return once.unionByName(repeated)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, remote, table
+from .common import Written, fresh, remote, scratch, table
 
 MIN_WORDS = 50
 ANCHOR = 30
@@ -287,10 +287,10 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
-def cut_batches(batches, names):
+def cut_batches(batches, names, own):
     for batch in batches:
         texts, keep = [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("cut_spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column(own).to_pylist(), strict=True):
             cut = [(s["start"], s["end"]) for s in spans or () if s["removable"]]
             left = without(text, cut) if cut else text
             texts.append(left)
@@ -304,7 +304,10 @@ def cut_batches(batches, names):
 
 def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
     """All rows with their removable passages cut out of ``text`` (and n_chars counted anew); rows of which nothing is left go."""
-    found = Written(passages_by_document(docs, min_words, anchor).select(F.col("doc_id").alias("cut_doc"), F.col("h").alias("cut_h"), F.col("spans").alias("cut_spans")).where(F.exists("spans", lambda s: s["removable"])), "cuts").df
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("cut_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("cut_h"))
     names = docs.columns
-    return docs.join(found, own, "left").select(*names, "cut_spans").mapInArrow(remote("lamina.llm.suffixes:cut_batches", names), docs.schema)
+    doc, h, spans = (fresh(x, names) for x in ("cut_doc", "cut_h", "cut_spans"))
+    with scratch() as keep:
+        found = passages_by_document(docs, min_words, anchor).where(F.exists("spans", lambda s: s["removable"]))
+        found = keep(Written(found.select(F.col("doc_id").alias(doc), F.col("h").alias(h), F.col("spans").alias(spans)), "cuts")).df
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
+    return docs.join(found, own, "left").select(*[f"`{c}`" for c in names], spans).mapInArrow(remote("lamina.llm.suffixes:cut_batches", names, spans), docs.schema)

@@ -166,16 +166,43 @@ def test_near_copies_equal_brute_force_over_exact_jaccard(spark):
     line = rng.choices(vocab, k=40)  # shared by many that are otherwise unlike
     texts += [line + rng.choices(vocab, k=rng.randint(1, 40)) for _ in range(40)]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = plain_groups([t for _, t in rows])
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    assert {r.doc_id: r.first_doc for r in found.collect()} == dict(enumerate(label))
+
+
+def plain_groups(texts):
+    """The smallest number of an alike text, for each text."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in words]
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
-    members, labels = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5)
-    found = dict(map(tuple, labels.collect()))
-    assert {r.doc_id: found.get(r.node, r.node) for r in members.collect()} == dict(enumerate(label))
+    return label
+
+
+def test_keep_one_tells_documents_of_one_doc_id_by_their_texts(spark):
+    rng = random.Random(31)
+    vocab = [f"v{i}" for i in range(900)]
+    a, b, c, d = (rng.choices(vocab, k=60) for _ in range(4))
+    near = [*b[:-1], "other"]
+    texts = [(1, a), (2, a), (2, b), (3, b), (3, c), (3, c), (4, near), (4, d), (7, []), (7, []), (7, d), (None, a), (None, a), (None, [])]
+    rows = [(doc, " ".join(t), n) for n, (doc, t) in enumerate(texts)]
+    clash = "doc_id long, text string, gone int, near_doc int, Near_H int, near_fate int, h int, first_doc int, n int"
+    df = spark.createDataFrame([(doc, t, n, n, n, n, n, n, n) for doc, t, n in rows], clash)
+    kept = simhash.keep_one(df, 5)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    # The first of each group by (doc_id, text); repeated rows once; no doc_id or no words: all.
+    ids = sorted({(doc, t) for doc, t, _ in rows if doc is not None and t})
+    firsts = {}
+    for i, k in enumerate(plain_groups([t for _, t in ids])):
+        firsts.setdefault(k, ids[i])
+    want = Counter(firsts.values()) + Counter((doc, t) for doc, t, _ in rows if doc is None or not t)
+    assert got == want and (2, " ".join(b)) in got and (3, " ".join(c)) in got
 
 
 # Sharding.
@@ -438,6 +465,8 @@ def test_repeated_passages_equal_brute_force(docs, empty):
 def test_cutting_keeps_first_occurrences(docs, empty):
     kept = suffixes.cut_repeats(docs)
     assert kept.columns == docs.columns
+    clash = docs.withColumns({c: F.lit(1) for c in ("cut_spans", "cut_doc", "Cut_H", "first_docs")})
+    assert sorted(map(str, suffixes.cut_repeats(clash).select(docs.columns).collect())) == sorted(map(str, kept.collect()))
     after = {r.doc_id: r.text for r in kept.collect()}
     texts = dict(rows_of(docs))
     passage = " ".join(texts[0].split()[-71:-1])
