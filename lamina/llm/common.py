@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -158,9 +158,29 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], share: int = 200)
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
 
 
-def shares(counts: dict, k: int) -> dict:
-    """For each key of ``counts`` rows the number under which a hash of 63 bits keeps about ``k`` of them (at most all)."""
-    return {key: (1 << 63) - 1 if n <= k else max(1, (k << 63) // n) for key, n in counts.items()}
+def slice_of(n: int, k: int, part: int = 0, most: float = 1.0) -> tuple[int, int]:
+    """The hashes (after, up to) of 63 bits that about ``k`` of ``n`` rows have, ``most`` of them at most; parts do not overlap.
+
+    A slice is never empty, whatever ``n``: with more rows than hashes it holds one hash.
+    """
+    top = (1 << 63) - 1
+    width = max(1, min(int(most * 2**32) * top >> 32, k * top // max(1, n)))
+    return min(top, part * width) - (part == 0), min(top, (part + 1) * width)
+
+
+def sampled(rows: DataFrame, by: str, counts: dict, k: int, identity: list[str], part: int = 0, most: float = 1.0) -> DataFrame:
+    """About ``k`` rows, and at most twice as many, of each value of ``by``, by the order of a hash of ``identity``.
+
+    ``counts`` has the number of rows of each value; another ``part`` has other
+    rows.  Rows that repeat ``identity`` have one hash, so the sample is cut at
+    last, in that order.
+    """
+    at, ends, nth = (fresh(x, rows.columns) for x in ("sample_at", "sample_ends", "sample_nth"))
+    bounds = F.create_map(*[x for key, n in counts.items() for x in (F.lit(key), F.array(*map(F.lit, slice_of(n, k, part, most))))])
+    hashed = rows.withColumn(at, F.shiftrightunsigned(F.xxhash64(*identity), 1)).withColumn(ends, bounds[F.col(by)])
+    some = hashed.where((F.col(at) > F.col(ends)[0]) & (F.col(at) <= F.col(ends)[1]))
+    order = Window.partitionBy(by).orderBy(at, *identity)
+    return some.withColumn(nth, F.row_number().over(order)).where(F.col(nth) <= 2 * k).drop(at, ends, nth)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

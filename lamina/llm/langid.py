@@ -8,10 +8,10 @@ text takes the language of the centroid with the largest cosine.  A text
 farther from all centroids than nearly all known texts of that language and
 about that length, by a margin, is ``rejected``.
 
-The model is fitted on a bounded sample: rows of each language are kept where a
-hash of doc_id falls under ``per_language`` divided by the language's rows.  The
-limits for rejection come from as many rows outside it, from their beginnings
-of several lengths, as short texts have smaller cosines.
+The model is fitted on a bounded sample: of each language about
+``per_language`` rows, twice as many at most, by the order of a hash of doc_id
+and text.  The limits for rejection come from as many rows outside it, from
+their beginnings of several lengths, as short texts have smaller cosines.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and rejected; without any labelled row every text is ``und``; of equal cosines
@@ -21,16 +21,16 @@ their own row; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remote, table
+from .common import remote, sampled, table
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 500
@@ -40,7 +40,7 @@ REJECT_MARGIN, REJECT_QUANTILE = 0.8, 0.01
 #: Characters of the beginnings of known texts on which the limits are measured.
 LENGTHS = (8, 16, 32, 64, 128, 256, 512, 1024, 4096, 16384)
 SHARPNESS = 25.0
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # as in fit_on
 _PLAIN = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 SCHEMA = "doc_id long, lang_pred string, score double, cosine double, rejected boolean"
 
@@ -160,20 +160,18 @@ def calibrate(model: Centroids, rows: DataFrame) -> None:
 def fit_on(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE) -> Centroids | None:
     """A model from the rows of (doc_id, text, lang) where ``train`` holds and lang is known."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    share = {r["lang"]: min(0.75, per_language / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not share:
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
         return None
-    limits = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * 2**20)))])
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(2**20))
-    sample = rows.where(at < limits[F.col("lang")])
-    got = sample.select("lang", "text").mapInArrow(remote("lamina.llm.langid:count_batches"), "lang string, counts binary").toArrow()
+    some = lambda part: sampled(rows, "lang", counts, per_language, ["doc_id", "text"], part, 0.75)
+    got = some(0).select("lang", "text").mapInArrow(remote("lamina.llm.langid:count_batches"), "lang string, counts binary").toArrow()
     langs = got.column("lang").to_pylist()
     if not langs:
         return None
     both = sorted(zip(langs, got.column("counts").to_pylist(), strict=True))  # the order of arrival may change
     del got
     model = fit(np.stack([np.frombuffer(x, "<i4").astype(np.float32) for _, x in both]), [lang for lang, _ in both])
-    calibrate(model, rows.where((at >= limits[F.col("lang")]) & (at < 2 * limits[F.col("lang")])))
+    calibrate(model, some(1))
     return model
 
 

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lamina.llm import ann, bpe, langid, media, packing, sentencepieces, sharding, simhash, suffixes, tokencount, toxicity
-from lamina.llm.common import components, small_table
+from lamina.llm.common import components, sampled, slice_of, small_table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, extra array<int>"
 ODD = [None, "", " ", "\n", "a", "é ü", "a b c d e", "日本 語", "x" * 5000, "...", "0 1 2", "\x1c\x85 a", "<|endoftext|> b"]
@@ -636,3 +636,64 @@ def test_pipeline_stages_keep_columns_and_pack_what_is_left(spark, tmp_path):
     got = p.run(spark, sf).collect()
     assert sum(r.length for r in got) == want
     assert {r.doc_id for r in got} == {r.doc_id for r in now.collect()}
+
+
+# Samples.
+
+
+@pytest.mark.parametrize("exponent", range(13))
+def test_a_slice_of_any_number_of_rows_holds_about_as_many_as_wanted(exponent):
+    for n in (10**exponent, 7 * 10**exponent):
+        for k, most in ((1, 1.0), (500, 0.75), (3000, 1.0)):
+            (a, b), (c, d) = (slice_of(n, k, part, most) for part in (0, 1))
+            assert a == -1 and b > 0 and c == b and d >= c
+            want = min(k, most * n)
+            assert abs((b - a) / 2**63 * n - want) <= 1e-6 * want + 1
+
+
+def test_samples_are_bounded_whatever_repeats(spark, docs):
+    rows = spark.range(20000).selectExpr("cast(if(id % 3 = 0, null, id) as long) as doc_id", "if(id % 3 = 0, 'same', cast(id as string)) as text", "cast(id % 2 as int) as label")
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    parts = [sampled(rows, "label", counts, 100, ["doc_id", "text"], part).collect() for part in (0, 1)]
+    for part in parts:
+        assert all(0 < n <= 200 for n in Counter(r.label for r in part).values())
+    assert not {r.doc_id for r in parts[0]} & {r.doc_id for r in parts[1] if r.doc_id is not None}
+    assert sampled(rows, "label", counts, 10**6, ["doc_id", "text"]).count() == 20000
+
+
+def test_letters_decide_what_is_undetermined(spark):
+    df = spark.createDataFrame([(i, " ".join(["der die und"] * (1 + i % 5)), "de") for i in range(80)], "doc_id long, text string, lang string")
+    model = langid.fit_on(df, F.lit(True))
+    odd = ["½ ²", "①", "Ⅷ 12", "_", "١٢٣", "ª", "字", "é", "ʰ"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()}
+    import unicodedata
+
+    assert {odd[i] for i, p in got.items() if p == "und"} == {t for t in odd if not any(unicodedata.category(c).startswith("L") for c in t)}
+
+
+def test_centroid_cosines_equal_plain_ones(spark):
+    texts = [t for t in corpus(9, 12) if t and len(t) < 2000][:14]
+    langs = ["aa" if i % 2 else "bb" for i in range(len(texts))]
+    counts = np.stack([langid.ngram_counts(t) for t in texts]).astype(np.float32)
+    model = langid.fit(counts, langs, clusters=3)
+
+    def plain_counts(text):
+        raw = [c if 97 <= c <= 122 or c >= 128 else 32 for c in f" {text.lower()} ".encode()]
+        line = [c for i, c in enumerate(raw) if i == 0 or c != 32 or raw[i - 1] != 32]
+        out = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(line) - n + 1):
+                gram = sum(c << 8 * (n - 1 - j) for j, c in enumerate(line[i : i + n]))
+                out[((gram + (n << 24)) * 2654435761 % 2**32) >> 20] += 1
+        return out
+
+    own = [plain_counts(t) for t in texts]
+    assert [{i: int(n) for i, n in enumerate(c) if n} for c in counts] == own
+    df = Counter(k for c in own for k in c)
+    idf = {k: math.log((1 + len(own)) / (1 + n)) + 1 for k, n in df.items()}
+    for c, found in zip(own, model.cosines(model.vector(counts)), strict=True):
+        x = {k: math.log1p(n) * idf[k] for k, n in c.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        for lang, cos in zip(model.languages, found, strict=True):
+            centres = [v for v, o in zip(model.vectors, model.owner, strict=True) if model.languages[o] == lang]
+            assert max(sum(w * v[k] for k, w in x.items()) / size for v in centres) == pytest.approx(float(cos), abs=1e-4)
