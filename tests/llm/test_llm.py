@@ -379,6 +379,71 @@ def test_toxicity_on_held_out_texts(spark, empty):
     assert toxicity.score(empty, net).count() == 0
 
 
+def small_net(seed):
+    rng = np.random.default_rng(seed)
+    shape = lambda *n: rng.normal(0, 1, n)
+    embedding = shape(9, toxicity.SIZE)
+    embedding[0] = 0
+    n = toxicity.FILTERS
+    return toxicity.TextCnn({}, embedding, [shape(w, toxicity.SIZE, n) for w in toxicity.WIDTHS], [shape(n) for _ in toxicity.WIDTHS], shape(n * len(toxicity.WIDTHS)), 0.3, {-1: 0.5})
+
+
+def plain_output(net, ids):
+    """Scalar convolution: words, then zero vectors, so that every text has a window of each width."""
+    total = net.out_bias
+    padded = [net.embedding[i] for i in ids] + [net.embedding[0]] * max(toxicity.WIDTHS)
+    for k, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for at in range(len(padded) - width + 1):
+                got = net.bias[k][f]
+                for j in range(width):
+                    for d in range(toxicity.SIZE):
+                        got += padded[at + j][d] * net.filters[k][j, d, f]
+                best = max(best, got)
+            total += best * net.out[k * toxicity.FILTERS + f]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_convolution_equals_scalar_loops():
+    rng = random.Random(1)
+    texts = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 2, 3, 7, 20)]
+    net = small_net(3)
+    found = net.outputs(*toxicity.joined([np.array(t, np.int64) for t in texts]))
+    assert [plain_output(net, t) for t in texts] == pytest.approx(found.tolist())
+
+
+def test_gradients_equal_finite_differences():
+    rng = random.Random(2)
+    texts = [np.array([rng.randrange(1, 9) for _ in range(n)], np.int64) for n in (4, 9, 2)]
+    labels, weight = np.array([1, 0, 1]), np.array([0.7, 1.9])
+    flat, cuts = toxicity.joined(texts)
+    net = small_net(5)
+
+    def loss():
+        p = net.outputs(flat, cuts)
+        return float(np.mean(weight[labels] * -np.where(labels == 1, np.log(p), np.log(1 - p))))
+
+    rows, grad_e, grads_f, grads_b, grad_out, grad_bias = toxicity.gradients(net, flat, cuts, labels, weight)
+    every = np.zeros_like(net.embedding)
+    every[rows] = grad_e
+    for x, g in zip([net.embedding, *net.filters, *net.bias, net.out], [every, *grads_f, *grads_b, grad_out], strict=True):
+        for _ in range(12):
+            at = tuple(rng.randrange(1 if x is net.embedding and i == 0 else 0, n) for i, n in enumerate(x.shape))
+            was = x[at]
+            x[at] = was + 1e-6
+            up = loss()
+            x[at] = was - 1e-6
+            down = loss()
+            x[at] = was
+            assert (up - down) / 2e-6 == pytest.approx(g[at], abs=1e-5)
+    was, step = net.out_bias, 1e-6
+    net.out_bias = was + step
+    up = loss()
+    net.out_bias = was - step
+    assert (up - loss()) / (2 * step) == pytest.approx(grad_bias, abs=1e-5)
+
+
 # SentencePiece.
 
 
