@@ -381,7 +381,7 @@ def test_toxicity_on_held_out_texts(spark, empty):
 
 def small_net(seed):
     rng = np.random.default_rng(seed)
-    shape = lambda *n: rng.normal(0, 1, n)
+    shape = lambda *n: rng.normal(0, 0.4, n)
     embedding = shape(9, toxicity.SIZE)
     embedding[0] = 0
     n = toxicity.FILTERS
