@@ -662,7 +662,7 @@ def test_neighbours_recall_and_exact_scores(spark):
     vecs = [(i, v.tolist()) for i, v in enumerate(x)]
     vecs += [(2000, None), (2050, []), (2100, [0.0] * 16), (2150, [math.nan] + [1.0] * 15), (2200, [None] + [1.0] * 15), (None, [1.0] * 16), (2250, [1.0] * 3), vecs[50]]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in vecs], "vec_id long, embedding array<float>, label int, gid int")
-    out = ann.search(df, F.col("vec_id") % 50 == 0, 5, share=0.6, least=200).collect()
+    out = ann.search(df, F.col("vec_id") % 50 == 0, 5).collect()
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     hit = 0
     for q in range(0, 1500, 50):
@@ -680,6 +680,38 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def plain_cosine(a, b):
+    from fractions import Fraction
+
+    x, y = ([Fraction(float(v)) for v in z] for z in (a, b))
+    dot = sum(p * q for p, q in zip(x, y, strict=True))
+    return math.copysign(math.sqrt(dot**2 / (sum(p * p for p in x) * sum(q * q for q in y))), 1 if dot >= 0 else -1)
+
+
+def test_neighbours_of_odd_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vecs = [(0, [1e-200, 2e-200]), (1, [1.0, 2.0]), (2, [1e200, 2e200]), (3, [2.0, -1.0]), (4, [5e-324, 0.0]), (5, [1e300, -1e-300]), (6, [-1.0, 0.5])]
+    vecs += [(10 + i, rng.normal(size=3).tolist()) for i in range(9)] + [(30, [1.0]), (31, [-2.0]), (32, [4.0])]
+    vecs += [(12, rng.normal(size=3).tolist()), (12, rng.normal(size=2).tolist()), (13, vecs[8][1]), (13, vecs[8][1]), (40, [1.0, 2.0, 3.0, 4.0])]
+    vecs += [(50, v) for v in rng.normal(size=(12, 2)).tolist()] + [(51, [0.3, 0.4]), (52, [0.3, 0.4])]
+    df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in vecs], "vec_id long, embedding array<double>, size int, rank int, cell int")
+    got = {}
+    for r in ann.search(df, F.lit(True), 5, share=1.0).collect():
+        assert r.rank not in got.setdefault(r.query_id, {})
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    for q in {i for i, _ in vecs}:
+        best = {}
+        for i, v in vecs:
+            for a in (w for j, w in vecs if j == q):
+                if i != q and len(a) == len(v):
+                    best[i] = max(best.get(i, -2), plain_cosine(a, v))
+        own = [got.get(q, {})[k + 1] for k in range(len(got.get(q, {})))]
+        assert len(own) == min(5, len(best))
+        assert all(s == pytest.approx(best[i], abs=1e-15) for i, s in own)
+        assert [s for _, s in own] == sorted((s for _, s in own), reverse=True)
+        assert all(best[i] <= own[-1][1] + 1e-15 for i in best if i not in {k for k, _ in own})
+
+
 # Pipeline.
 
 
