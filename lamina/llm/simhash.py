@@ -156,16 +156,26 @@ def sampled_batches(batches, shingle):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["k"])
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """256 bits in four longs: whether the number of hashes that begin with each byte is odd.
+
+    Where two sets' bits differ, some hash is in one of them alone: their
+    symmetric difference is no smaller than the number of differing bits.
+    """
+    odd = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_batches(batches, shingle, similarity, common):
-    """(doc_id, h, two hashes and the size of the shingle set, its prefix)."""
+    """(doc_id, h, two hashes and the size of the shingle set, its prefix, its parities)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             sets = [shingle_set(x.as_py(), shingle) for x in part.column("text")]
             marks = [[xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets] for seed in (1, 2)]
             heads = [in_order(x, common)[: prefix_length(len(x), similarity)].view(np.int64) if len(x) else x.view(np.int64) for x in sets]
-            arrays = [part.column("doc_id"), part.column("h"), *(pa.array(np.array(m, np.uint64).view(np.int64)) for m in marks), pa.array([len(x) for x in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "x", "y", "n", "prefix"])
+            arrays = [part.column("doc_id"), part.column("h"), *(pa.array(np.array(m, np.uint64).view(np.int64)) for m in marks), pa.array([len(x) for x in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "x", "y", "n", "prefix", "bits"])
 
 
 def set_batches(batches, shingle):
@@ -196,13 +206,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     if the Jaccard similarity of their sets is ``similarity`` or more.  Two such sets share a
     shingle of their prefixes, so all pairs that can be alike meet.  First each
     node is compared with the smallest one it meets at each shingle; then all
-    that meet and are not connected yet are compared, if they share as many
-    shingles of their prefixes as alike ones must.
+    that meet and are not connected yet are compared, if the parities of their
+    sets allow it and they share as many shingles of their prefixes as alike
+    ones must.
     """
     text = F.col("text").cast("string")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     with scratch() as keep:
-        prefixes = rows.mapInArrow(remote("lamina.llm.simhash:prefix_batches", shingle, similarity, common_shingles(rows, shingle)), "doc_id long, h long, x long, y long, n int, prefix array<long>")
+        prefixes = rows.mapInArrow(remote("lamina.llm.simhash:prefix_batches", shingle, similarity, common_shingles(rows, shingle)), "doc_id long, h long, x long, y long, n int, prefix array<long>, bits array<long>")
         # Both are written, so rows and nodes keep their numbers.
         marked = keep(Written(prefixes.where("n > 0").withColumnRenamed("n", "size").withColumn("row", F.monotonically_increasing_id()), "prefixes")).df
         first = F.min(F.struct("doc_id", "h", "row")).alias("first")
@@ -220,12 +231,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         labels = Written(components(close), "labels").df
         placed = Written(met.select("k", "node", "n").join(labels, "node", "left").select("k", "node", "n", F.coalesce("label", "node").alias("label")), "placed").df
         open_ = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
-        # Alike sets are of one class of sizes or of neighbouring classes.
-        step = -math.log(similarity)
-        left = Written(placed.join(open_, "k").withColumn("c", F.floor(F.log("n") / step + 1e-9)), "open").df
-        one, two = (left.select("k", "c", *(F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "label"))) for i in "ab")
-        two = two.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
-        pairs = one.join(two, ["k", "c"]).where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fits(F.col("n_a"), F.col("n_b")))
+        bits = Written(marked.select("row", "bits").join(own.select("row", "node"), "row").select("node", *(F.col("bits")[i].alias(f"bits{i}") for i in range(4))), "bits").df
+        left = Written(placed.join(open_, "k").join(bits, "node"), "open").df
+        one, two = (left.select("k", *(F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "label", *(f"bits{j}" for j in range(4))))) for i in "ab")
+        differ = sum((F.bit_count(F.col(f"bits{j}_a").bitwiseXOR(F.col(f"bits{j}_b"))) for j in range(1, 4)), F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))))
+        near = differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9
+        pairs = one.join(two, "k").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fits(F.col("n_a"), F.col("n_b")) & near)
         # Beyond the prefix that ends first a set has n - prefix shingles, which is the floor of similarity * n or one less.
         most_beyond = similarity * F.greatest("n_a", "n_b") + 1
         enough = F.col("shared") >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - most_beyond

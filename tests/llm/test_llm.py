@@ -171,6 +171,15 @@ def test_near_copies_equal_brute_force_over_exact_jaccard(spark):
     assert {r.doc_id: r.first_doc for r in found.collect()} == dict(enumerate(label))
 
 
+def test_parities_bound_the_symmetric_difference():
+    rng = np.random.default_rng(6)
+    for n, m, both in ((0, 5, 0), (40, 44, 30), (300, 20, 10), (90, 90, 90)):
+        every = np.unique(rng.integers(0, 2**64, n + m, dtype=np.uint64))
+        a, b = every[:n], every[n - both : n - both + m]
+        differ = sum(int(x ^ y).bit_count() for x, y in zip(*(map(int, simhash.parities(s).view(np.uint64)) for s in (a, b)), strict=True))
+        assert differ <= len(np.setxor1d(a, b)) and (differ > 0) == (len(np.setxor1d(a, b)) > 0)
+
+
 def plain_groups(texts):
     """The smallest number of an alike text, for each text."""
     words = [t.lower().split() for t in texts]
