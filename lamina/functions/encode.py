@@ -1,7 +1,7 @@
 """Integer codecs as Column expressions, and the byte codecs as numpy and pandas UDFs.
 
-Arithmetic wraps in 64 bits whatever the session's ANSI mode: differences go
-through decimals and back into the signed range.
+Arithmetic wraps in 64 bits whatever the session's ANSI mode: halves of 32 bits
+are added, which cannot overflow, and put together by shifts.
 """
 
 from __future__ import annotations
@@ -10,31 +10,33 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import BinaryError
 
-_RANGE = "18446744073709551616"
+_LOW = 0xFFFFFFFF
 
 
-def wrapped(x: Column) -> Column:
-    """A decimal, modulo 2 ** 64, as a signed long."""
-    low = F.lit("9223372036854775808").cast("decimal(38,0)")
-    return (F.pmod(x + low, F.lit(_RANGE).cast("decimal(38,0)")) - low).cast("long")
+def _halves(x: Column) -> tuple[Column, Column]:
+    return F.shiftright(x, 32), x.bitwiseAND(F.lit(_LOW))
 
 
-def _wide(x: Column) -> Column:
-    return x.cast("decimal(38,0)")
+def _whole(high: Column, low: Column) -> Column:
+    """The long of two halves, a carry or borrow in the low one going up."""
+    return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
 
 
 def minus(a: Column, b: Column) -> Column:
-    return wrapped(_wide(a) - _wide(b))
+    (p, q), (r, s) = _halves(a), _halves(b)
+    return _whole(p - r, q - s)
 
 
 def plus(a: Column, b: Column) -> Column:
-    return wrapped(_wide(a) + _wide(b))
+    (p, q), (r, s) = _halves(a), _halves(b)
+    return _whole(p + r, q + s)
 
 
 def zigzag(x: Column) -> Column:
@@ -57,23 +59,34 @@ def encoded_size(n: Column, bits: Column) -> Column:
     return F.when(n == 0, 0).otherwise(13 + packed).cast("long")
 
 
+def _middle(a: Column, b: Column) -> Column:
+    """The left middle plus half the wrapped gap, towards zero."""
+    return plus(a, F.call_function("div", minus(b, a), F.lit(2).cast("long")))
+
+
 def midpoints(df: DataFrame, frame: list[str], col: str) -> DataFrame:
     """(frame, n, mid): the middle value of each frame, of an even number the left middle plus half the wrapped gap, towards zero.
 
     Ranks come from a sort inside the frame, so a frame may be larger than a task's memory.
     """
-    order = Window.partitionBy(*frame).orderBy(col)
-    ranked = df.select(*frame, F.col(col).cast("long").alias("x"), F.row_number().over(order).alias("_r"), F.count("*").over(Window.partitionBy(*frame)).alias("n"))
-    middle = ranked.where((F.col("_r") == F.floor((F.col("n") + 1) / 2)) | (F.col("_r") == F.floor(F.col("n") / 2) + 1))
-    ends = middle.groupBy(*frame).agg(F.max("n").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
-    gap = minus(F.col("b"), F.col("a"))
-    half = F.expr("_gap div 2")
-    return ends.withColumn("_gap", gap).select(*frame, "n", plus(F.col("a"), half).alias("mid"))
+    return _ranked(df.select(*frame, col), frame, col).groupBy(*frame).agg(F.max("_n").alias("n"), F.max("_a").alias("a"), F.max("_b").alias("b")).select(*frame, "n", _middle(F.col("a"), F.col("b")).alias("mid"))
+
+
+def _ranked(df: DataFrame, frame: list[str], col: str) -> DataFrame:
+    """The rows with their frame's number of rows ``_n``, and with its middles ``_a`` and ``_b`` on the rows where they stand."""
+    every = Window.partitionBy(*frame)
+    x = F.col(col).cast("long")
+    ranked = df.withColumn("_r", F.row_number().over(every.orderBy(col))).withColumn("_n", F.count("*").over(every))
+    at = lambda place: F.when(F.col("_r") == place, x)
+    return ranked.withColumn("_a", at(F.expr("(_n + 1) div 2"))).withColumn("_b", at(F.expr("_n div 2 + 1")))
 
 
 def deltas(df: DataFrame, frame: list[str], col: str) -> DataFrame:
-    """The rows of df with ``n``, ``mid`` of their frame and the wrapped ``delta``."""
-    return df.join(midpoints(df, frame, col), frame).withColumn("delta", minus(F.col(col).cast("long"), F.col("mid")))
+    """The rows of df with ``n``, ``mid`` of their frame and the wrapped ``delta``; one shuffle, and no second read."""
+    every = Window.partitionBy(*frame)
+    ranked = _ranked(df, frame, col)
+    whole = ranked.select(*df.columns, F.col("_n").alias("n"), _middle(F.max("_a").over(every), F.max("_b").over(every)).alias("mid"))
+    return whole.withColumn("delta", minus(F.col(col).cast("long"), F.col("mid")))
 
 
 # The byte codec.
@@ -161,22 +174,43 @@ def decompress_bytes(data: bytes, size: int, level: int | None = 3) -> bytes:
     return out
 
 
+def each(f):
+    """A function of the values of columns, as one of their series; a null among them gives null."""
+
+    def run(*columns):
+        return pd.Series([None if any(x is None for x in row) else f(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    return run
+
+
 @F.pandas_udf(T.BinaryType())
 def compressed(values: pd.Series) -> pd.Series:
     """The integer codec's bytes of an array<long> column."""
-    return values.map(compress_ints)
+    return each(compress_ints)(values)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def decompressed(data: pd.Series, count: pd.Series) -> pd.Series:
-    return pd.Series([decompress_ints(bytes(d), int(n)) for d, n in zip(data, count, strict=True)])
+    return each(lambda d, n: decompress_ints(bytes(d), int(n)))(data, count)
+
+
+@F.pandas_udf(T.BinaryType())
+def zstd(data: pd.Series) -> pd.Series:
+    """The bytes of a binary column, each value compressed with the default level."""
+    return each(lambda d: compress_bytes(bytes(d)))(data)
+
+
+@F.pandas_udf(T.BinaryType())
+def unzstd(data: pd.Series, size: pd.Series) -> pd.Series:
+    """The bytes again; ``size`` is their number before."""
+    return each(lambda d, n: decompress_bytes(bytes(d), int(n)))(data, size)
 
 
-@F.pandas_udf(T.LongType())
-def double_bits(x: pd.Series) -> pd.Series:
-    return pd.Series(x.to_numpy("float64").view("int64"))
+@F.arrow_udf(T.LongType())
+def double_bits(x: pa.Array) -> pa.Array:
+    return x.view(pa.int64())
 
 
-@F.pandas_udf(T.DoubleType())
-def bits_double(x: pd.Series) -> pd.Series:
-    return pd.Series(x.to_numpy("int64").view("float64"))
+@F.arrow_udf(T.DoubleType())
+def bits_double(x: pa.Array) -> pa.Array:
+    return x.view(pa.float64())

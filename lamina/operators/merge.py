@@ -86,15 +86,19 @@ def merge_map_tables(left: DataFrame, right: DataFrame, value: Schema) -> DataFr
 
     A key of the right merges into the left's first entry of that key, or into
     the right's own first; later left entries of a key stay as they are.  Only
-    scalar values, where merging is agreement with the first, are allowed.
+    scalar values, where merging is agreement with the first, are allowed.  A
+    null agrees with nulls alone.
     """
     if value.kind not in ("int", "double", "binary"):
         raise ValueError("nested values merge as cells: merge_map_cells")
     both = merge_array_tables(left, right).select("key", "value", "_src", "_pos")
     # A first entry is found by aggregation; a hot key is combined before the shuffle.
-    firsts = both.groupBy("key").agg(F.min(F.struct("_src", "_pos", "value")).alias("f"), F.min(F.when(F.col("_src") == 1, F.col("value"))).alias("low"), F.max(F.when(F.col("_src") == 1, F.col("value"))).alias("high"))
+    right_value = F.when(F.col("_src") == 1, F.col("value"))
+    nulls = F.count_if((F.col("_src") == 1) & F.col("value").isNull()).alias("nulls")
+    firsts = both.groupBy("key").agg(F.min(F.struct("_src", "_pos", "value")).alias("f"), F.min(right_value).alias("low"), F.max(right_value).alias("high"), nulls)
     first = F.col("f.value")
-    fine = F.col("low").isNull() | (agree(value, first, F.col("low")) & agree(value, first, F.col("high")))
+    alike = (F.col("nulls") == 0) & agree(value, first, F.col("low")) & agree(value, first, F.col("high"))
+    fine = F.when(F.col("low").isNull(), (F.col("nulls") == 0) | first.isNull()).otherwise(F.coalesce(alike, F.lit(False)))
     checked = F.when(fine, first).otherwise(conflict("value", first, F.when(agree(value, first, F.col("low")), F.col("high")).otherwise(F.col("low")), value))
     kept = firsts.select("key", checked.alias("value"), F.col("f._src").alias("_src"), F.col("f._pos").alias("_pos"))
     again = left.select("key", "_pos").join(firsts.where("f._src = 0").select("key", F.col("f._pos").alias("at")), "key").where(F.col("_pos") > F.col("at")).select("key", "_pos")
@@ -103,6 +107,10 @@ def merge_map_tables(left: DataFrame, right: DataFrame, value: Schema) -> DataFr
 
 
 def merge_binary_tables(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The one row (data) of two binary tables, which must be equal."""
-    same = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.raise_error(F.lit("Structure mismatch: binary tables differ")).cast("binary"))
-    return left.agg(F.first("data").alias("a")).crossJoin(right.agg(F.first("data").alias("b"))).select(same.alias("data"))  # one row by one row
+    """The one row (data) of two binary tables, which must be equal; a side of several rows is no binary table."""
+    sides = left.select("data", F.lit(0).alias("_src")).unionByName(right.select("data", F.lit(1).alias("_src")))
+    of = lambda src: F.when(F.col("_src") == src, F.col("data"))
+    one = sides.agg(F.min(of(0)).alias("a"), F.min(of(1)).alias("b"), F.count_if(F.col("_src") == 0).alias("n"), F.count_if(F.col("_src") == 1).alias("m"))
+    same = F.when((F.col("n") > 1) | (F.col("m") > 1), F.raise_error(F.lit("Structure mismatch: a binary table has one row")).cast("binary"))
+    # An empty table has no row.
+    return one.select(same.when(F.coalesce("a", F.lit(b"")) == F.coalesce("b", F.lit(b"")), F.col("a")).otherwise(F.raise_error(F.lit("Structure mismatch: binary tables differ")).cast("binary")).alias("data"))

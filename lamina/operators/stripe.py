@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import SchemaError, StripedError
-from ..schema import Schema, member
+from ..errors import SchemaError
+from ..schema import Schema, member, spark_type
 
 
 def lengths(df: DataFrame, col: str, pos: str = "_pos") -> DataFrame:
@@ -55,15 +56,27 @@ def enum_columns(df: DataFrame, col: str, schema: Schema, pos: str = "_pos", blo
 
 
 def enum_rows(tags: DataFrame, parts: dict[int, DataFrame], schema: Schema, col: str, pos: str = "_pos", block: str | None = None) -> DataFrame:
-    """Rows (pos, col) from tags and dense columns; each value goes back to the row with its rank."""
-    out = tags
-    keys = [*([block] if block else []), "_nth"]
-    names = []
-    for _, t, _ in schema.parts:
-        name = member(t)
-        out = out.join(parts[t].select(*keys, F.lit(t).cast("long").alias("tag"), F.col("value").alias(name)), [*keys, "tag"], "left")
-        names.append(name)
-    return out.select(pos, *([block] if block else []), F.struct("tag", *names).alias(col))
+    """Rows (pos, col) from tags and dense columns; each value goes back to the row with its rank.
+
+    All dense columns meet the tags in one join; a tag without its value, or a
+    value without its tag, is an error.
+    """
+    own = [block] if block else []
+    keys = [*own, "_nth", "tag"]
+    stored = [(t, spark_type(s)) for _, t, s in schema.parts]
+    every = None
+    for t, _ in stored:
+        members = [(F.col("value") if t == u else F.lit(None)).cast(kind).alias(member(u)) for u, kind in stored]
+        one = parts[t].select(*own, "_nth", F.lit(t).cast("long").alias("tag"), *members, F.lit(True).alias("_stored"))
+        every = one if every is None else every.unionByName(one)
+    whole = F.when(F.col(pos).isNotNull() & F.col("_stored"), F.struct("tag", *[member(t) for t, _ in stored]))
+    lost = F.raise_error(F.lit("Vector operation failed: enum variant length mismatch")).cast(whole_type(stored))
+    joined = tags.select(pos, *keys).join(every, keys, "full")
+    return joined.select(pos, *own, F.coalesce(whole, lost).alias(col))
+
+
+def whole_type(stored: list[tuple[int, T.DataType]]) -> T.StructType:
+    return T.StructType([T.StructField("tag", T.LongType()), *(T.StructField(member(t), kind) for t, kind in stored)])
 
 
 def array_rows(sizes: DataFrame, flat: DataFrame, col: str, pos: str = "_pos") -> DataFrame:
@@ -77,9 +90,23 @@ def array_rows(sizes: DataFrame, flat: DataFrame, col: str, pos: str = "_pos") -
 
 
 def offsets(df: DataFrame, length: str = "length", pos: str = "_pos", block: str | None = None) -> DataFrame:
-    """``_offset``: the sum of the lengths before, in each block (without one: in one task)."""
-    window = (Window.partitionBy(block) if block else Window.partitionBy()).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_offset", F.coalesce(F.sum(length).over(window), F.lit(0)).cast("long"))
+    """``_offset``: the sum of the lengths before, in each block, or in the whole table.
+
+    Without blocks rows are dealt by ranges of ``pos``; running totals of the few
+    ranges are added to the sums inside them, so no task sees the whole table.
+    """
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if block:
+        return df.withColumn("_offset", F.coalesce(F.sum(length).over(before([block], pos)), F.lit(0)).cast("long"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The values of pos at which ranges begin, from the data; a row's range depends on its pos alone.
+    cuts = sorted(set(df.approxQuantile(pos, [i / parts for i in range(1, parts)], 0.25 / parts)))
+    part = F.lit(0) if not cuts else F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (F.col(pos) >= c).cast("int"))
+    dealt = df.withColumn("_part", part)
+    totals = dealt.groupBy("_part").agg(F.sum(length).alias("_total"))
+    starts = totals.select("_part", F.coalesce(F.sum("_total").over(before([], "_part")), F.lit(0)).alias("_start"))  # a row for each range
+    inside = dealt.withColumn("_offset", F.coalesce(F.sum(length).over(before(["_part"], pos)), F.lit(0)))
+    return inside.join(F.broadcast(starts), "_part").withColumn("_offset", (F.col("_offset") + F.col("_start")).cast("long")).select(*df.columns, "_offset")
 
 
 def blobs(df: DataFrame, col: str, block: str, pos: str = "_pos") -> DataFrame:
@@ -99,11 +126,12 @@ def bytes_rows(sizes: DataFrame, data: DataFrame, col: str, block: str, pos: str
 
 
 def map_rows(keys: DataFrame, values: DataFrame, pos: str = "_pos") -> DataFrame:
-    """(pos, key, value) from two columns (pos, value) of equal counts, joined by position."""
-    n, m = keys.count(), values.count()
-    if n != m:
-        raise StripedError.columns(n, m)
-    return keys.select(pos, F.col("value").alias("key")).join(values, pos)
+    """(pos, key, value) from two columns (pos, value), joined by position; a position that only one of them has is an error."""
+    one = keys.select(pos, F.col("value").alias("key"), F.lit(True).alias("_k"))
+    two = values.select(pos, "value", F.lit(True).alias("_v"))
+    text = F.concat(F.lit("Column count mismatch: position "), F.col(pos).cast("string"), F.when(F.col("_k").isNull(), " has no key").otherwise(" has no value"))
+    fine = F.when(F.col("_k") & F.col("_v"), True).otherwise(F.raise_error(text).cast("boolean"))
+    return one.join(two, pos, "full").where(fine).select(pos, "key", "value")
 
 
 def row_count(df: DataFrame) -> int:
@@ -112,4 +140,5 @@ def row_count(df: DataFrame) -> int:
 
 def at_most_one_block(col: str | Column, size: int = 1000) -> Column:
     """The block of a row number: blocks of ``size`` rows."""
-    return F.floor((F.col(col) if isinstance(col, str) else col) / size).cast("long")
+    x = F.col(col) if isinstance(col, str) else col
+    return F.call_function("div", x - F.pmod(x, F.lit(size)), F.lit(size)).cast("long")

@@ -358,8 +358,8 @@ def zigzag_roundtrip(t):
 
 @query(f"{_MIDDLE}, z as (select l_suppkey, l_orderkey - mid as d from lineitem join d using (l_suppkey)) select l_suppkey, max(length(bin({_ZIGZAG})))::bigint as bits from z group by 1")
 def bit_width(t):
-    z = E.deltas(_keys(t), ["l_suppkey"], "l_orderkey").select("l_suppkey", E.width(E.zigzag(F.col("delta"))).alias("bits"))
-    return z.groupBy("l_suppkey").agg(F.max("bits").alias("bits"))
+    z = E.deltas(_keys(t), ["l_suppkey"], "l_orderkey").select("l_suppkey", E.zigzag(F.col("delta")).alias("z"))
+    return z.groupBy("l_suppkey").agg(E.width(F.bit_or("z")).alias("bits"))
 
 
 _SIZE = f"{_MIDDLE}, z as (select l_suppkey, n, mid, l_orderkey - mid as d from lineitem join d using (l_suppkey)), w as (select l_suppkey, n, mid, max(length(bin({_ZIGZAG}))) as bits from z group by all)"
@@ -367,8 +367,8 @@ _SIZE = f"{_MIDDLE}, z as (select l_suppkey, n, mid, l_orderkey - mid as d from
 
 @query(f"{_SIZE} select l_suppkey, n, mid, bits::bigint as bits, (case when bits >= 32 then 13 + 8 * n else 13 + (n * bits + 7) // 8 end)::bigint as n_bytes from w")
 def encoded_size(t):
-    z = E.deltas(_keys(t), ["l_suppkey"], "l_orderkey").select("l_suppkey", "n", "mid", E.width(E.zigzag(F.col("delta"))).alias("bits"))
-    frames = z.groupBy("l_suppkey", "n", "mid").agg(F.max("bits").alias("bits"))
+    z = E.deltas(_keys(t), ["l_suppkey"], "l_orderkey").select("l_suppkey", "n", "mid", E.zigzag(F.col("delta")).alias("z"))
+    frames = z.groupBy("l_suppkey", "n", "mid").agg(E.width(F.bit_or("z")).alias("bits"))
     return frames.select("l_suppkey", "n", "mid", "bits", E.encoded_size(F.col("n"), F.col("bits")).alias("n_bytes"))
 
 

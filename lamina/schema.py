@@ -14,6 +14,7 @@ BINARY_ENCODINGS = ("binary", "utf8")
 DEFAULTS = ("allow", "deny")
 DATE_LIMIT = 4102444800000
 
+# The dialect of file headers (fixed values).
 _HEADER_INT = dict(zip(INT_ENCODINGS, ("Int", "Date", "TimeSeconds", "TimeMilliseconds", "TimeMicroseconds"), strict=True))
 _HEADER_BINARY = {"binary": "Binary", "utf8": "Utf8"}
 
@@ -195,7 +196,7 @@ def from_json(doc: dict) -> Schema:
     if default not in DEFAULTS:
         raise SchemaError(f"Unknown default: {default}")
     encoding = doc.get("encoding") or {"int": "int", "binary": "binary"}.get(kind)
-    if encoding and encoding not in INT_ENCODINGS + BINARY_ENCODINGS:
+    if encoding and encoding not in {"int": INT_ENCODINGS, "binary": BINARY_ENCODINGS}.get(kind, (encoding,)):
         raise SchemaError(f"Unknown encoding: {encoding}")
 
     def need(key):

@@ -167,10 +167,12 @@ def value_from_json(schema: Schema, doc):
     kind = schema.kind
     if kind in ("struct", "reversed", "enum", "nested", "array"):
         if kind == "struct":
-            fields = doc.get("struct", doc) if isinstance(doc, dict) else None
-            if fields is None:
-                raise SchemaError.mismatch("Struct", type(doc).__name__)
-            for name, _ in schema.parts:
+            if not isinstance(doc, dict) or list(doc) != ["struct"] or not isinstance(doc["struct"], dict):
+                raise SchemaError.mismatch("Struct", "object" if isinstance(doc, dict) else type(doc).__name__)
+            fields = doc["struct"]
+            if len(fields) != len(schema.parts):
+                raise SchemaError.mismatch(f"struct with {len(schema.parts)} fields", f"struct with {len(fields)} fields")
+            for name, _ in schema.parts:  # an object has no order, so only the names count
                 if name not in fields:
                     raise SchemaError.missing(name)
             return {n: value_from_json(s, fields[n]) for n, s in schema.parts}
@@ -189,7 +191,7 @@ def value_from_json(schema: Schema, doc):
         return [value_from_json(schema.inner, x) for x in doc]
     if isinstance(doc, bool):
         raise SchemaError.unsupported("bool")
-    if kind == "unit":
+    if kind == "unit" and doc is None:
         return None
     if kind == "int" and isinstance(doc, int) and -(1 << 63) <= doc < 1 << 63:
         return doc

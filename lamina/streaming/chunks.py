@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.encode import compressed, encoded_size
+from ..operators.stripe import at_most_one_block
 
 
 def encoded_chunks(df: DataFrame, pos: str, col: str, size: int = 1000) -> DataFrame:
     """(chunk, n, data, n_bytes): the codec's bytes of each chunk of ``size`` positions; a chunk bounds what one task gathers."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(col).cast("long").alias("x")))), lambda e: e["x"])
-    chunks = df.groupBy(F.floor(F.col(pos) / size).cast("long").alias("chunk")).agg(F.count("*").alias("n"), ordered.alias("xs"))
+    chunks = df.groupBy(at_most_one_block(pos, size).alias("chunk")).agg(F.count("*").alias("n"), ordered.alias("xs"))
     coded = chunks.select("chunk", "n", compressed("xs").alias("data"))
     return coded.withColumn("n_bytes", F.octet_length("data").cast("long"))
 

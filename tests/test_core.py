@@ -84,6 +84,12 @@ def test_schema_checks():
     for bad, text in ((S.enum(), "Empty enum"), (S.array(S.struct()), "Empty struct"), (S.struct(("a", S.UNIT), ("a", S.UNIT)), "Duplicate field name: a"), (S.enum(("a", 1, S.UNIT), ("b", 1, S.UNIT)), "Duplicate enum tag: 1")):
         with pytest.raises(SchemaError, match=text):
             S.check(bad)
+    for bad in ({"type": "bool"}, {"type": "int", "encoding": "utf8"}, {"type": "binary", "encoding": "date"}, {"type": "int", "default": "maybe"}):
+        with pytest.raises(SchemaError):
+            S.from_json(bad)
+    for kind, doc in ((S.UNIT, 5), (S.integer(), True), (S.double(), 42), (S.struct(("a", S.UNIT)), {"a": None})):
+        with pytest.raises(SchemaError):
+            files.value_from_json(kind, doc)
     with pytest.raises(SchemaError):
         S.from_json({"type": "bool"})
     assert S.from_json({"type": "complex", "fields": [{"name": "a", "schema": {"type": "int"}}]}) == S.struct(("a", S.integer()))
@@ -172,6 +178,12 @@ def test_merge_of_tables_and_values(spark):
     right = spark.createDataFrame([(2, 20, 0), (3, 30, 1), (3, 30, 2)], "key long, value long, _pos long")
     got = merge.merge_map_tables(left, right, S.integer()).orderBy("_src", "_pos").collect()
     assert [(r.key, r.value) for r in got] == [(1, 10), (2, 20), (2, 21), (3, 30)]
+    null = spark.createDataFrame([(1, None, 0), (3, None, 1), (3, None, 2)], left.schema)
+    with pytest.raises(Exception, match="Invalid value"):
+        merge.merge_map_tables(left, null, S.integer()).collect()
+    assert [(r.key, r.value) for r in merge.merge_map_tables(null.where("key = 3"), null.where("key = 3"), S.integer()).collect()] == [(3, None), (3, None)]
+    with pytest.raises(Exception, match="Invalid value"):
+        merge.merge_map_tables(null, left, S.integer()).collect()
     with pytest.raises(Exception, match="Invalid value"):
         merge.merge_map_tables(left, spark.createDataFrame([(1, 11, 0)], left.schema), S.integer()).collect()
     inf, nan = float("inf"), float("nan")
@@ -188,6 +200,8 @@ def test_merge_of_tables_and_values(spark):
     assert merge.merge_binary_tables(one, one).first().data == b"a"
     with pytest.raises(Exception, match="binary tables differ"):
         merge.merge_binary_tables(one, two).collect()
+    with pytest.raises(Exception, match="one row"):
+        merge.merge_binary_tables(one.union(one), one).collect()
 
 
 def test_defaults(spark):
@@ -204,8 +218,43 @@ def test_stripe_errors_and_empty_arrays(spark):
     wrong = stripe.lengths(df, "a").withColumn("length", F.col("length") + 1)
     with pytest.raises(Exception, match="array length mismatch"):
         stripe.array_rows(wrong, stripe.elements(df, "a"), "a").collect()
-    with pytest.raises(StripedError, match="expected 3, got 2"):
-        stripe.map_rows(df.select("_pos", F.lit(1).alias("value")), df.limit(2).select("_pos", F.lit(1).alias("value")))
+    with pytest.raises(Exception, match="position 2 has no value"):
+        stripe.map_rows(df.select("_pos", F.lit(1).alias("value")), df.where("_pos < 2").select("_pos", F.lit(1).alias("value"))).collect()
+    with pytest.raises(Exception, match="position [23] has no"):
+        stripe.map_rows(df.select("_pos", F.lit(1).alias("value")), df.select(F.when(F.col("_pos") == 2, 3).otherwise(F.col("_pos")).alias("_pos"), F.lit(1).alias("value"))).collect()
+
+
+def test_offsets_of_a_whole_table(spark):
+    sizes = [(i * 7 % 501 * 3 - 40, i % 11) for i in range(501)]
+    got = stripe.offsets(spark.createDataFrame(sizes, "_pos long, length long").repartition(3)).collect()
+    at, want = 0, {}
+    for p, n in sorted(sizes):
+        want[p], at = at, at + n
+    assert {r._pos: r._offset for r in got} == want
+    blocks = spark.createDataFrame([(9007199254740999,), (-1,), (999,), (1000,)], "x long").select(stripe.at_most_one_block("x"), stripe.at_most_one_block("x", 1)).collect()
+    assert [tuple(r) for r in blocks] == [(9007199254740, 9007199254740999), (-1, -1), (0, 999), (1, 1000)]
+
+
+def test_enum_columns_that_do_not_match(spark):
+    df = spark.createDataFrame([(0, (0, "a", None)), (1, (1, None, 5)), (2, (0, None, None))], "_pos long, e struct<tag:long,v_0:string,v_1:long>")
+    tags, parts = stripe.enum_columns(df, "e", RESULT)
+    back = stripe.enum_rows(tags, parts, RESULT, "e")
+    assert sorted((r._pos, tuple(r.e)) for r in back.collect()) == [(0, (0, "a", None)), (1, (1, None, 5)), (2, (0, None, None))]
+    for wrong in ({**parts, 0: parts[0].where("_nth = 1")}, {**parts, 1: parts[1].unionByName(parts[1].withColumn("_nth", F.lit(2).cast("long")))}):
+        with pytest.raises(Exception, match="variant length mismatch"):
+            stripe.enum_rows(tags, wrong, RESULT, "e").collect()
+
+
+def test_wrapping_arithmetic_and_bits_of_nulls(spark):
+    edge = [0, 1, -1, 2**63 - 1, -(2**63), 2**32, -(2**32) - 1, 4611686018427387904]
+    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
+    df = spark.createDataFrame([(a, b) for a in edge for b in edge], "a long, b long")
+    for r in df.select("a", "b", E.minus(F.col("a"), F.col("b")).alias("m"), E.plus(F.col("a"), F.col("b")).alias("p")).collect():
+        assert (r.m, r.p) == (wrap(r.a - r.b), wrap(r.a + r.b))
+    odd = spark.createDataFrame([(None,), (float("nan"),), (-0.0,), (1.5,)], "x double")
+    back = odd.select("x", E.bits_double(E.double_bits("x")).alias("y")).collect()
+    assert [repr(r.x) for r in back] == [repr(r.y) for r in back]
+    assert [r[0] for r in spark.createDataFrame([(None,), ([1],)], "x array<long>").select(E.decompressed(E.compressed("x"), F.size("x"))).collect()] == [None, [1]]
 
 
 def test_data_source(spark, tmp_path):
@@ -247,6 +296,11 @@ def test_conversions_and_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["validate", "-d", people, "-s", str(only)], spark) == 0
     assert "Validation: PASS" in capsys.readouterr().out
+    for data, reason in (('[{"id": 1, "name": "a", "age": 2}]', "Struct"), ('[{"struct": {"id": 1, "name": "a", "age": 2, "x": 0}}]', "4 fields"), ('[{"struct": {"id": 1, "name": "a", "aged": 2}}]', "field: age"), ('[{"struct": {"id": 1.5, "name": "a", "age": 2}}]', "Int")):
+        wrong = tmp_path / "wrong.json"
+        wrong.write_text('{"schema": {}, "data": ' + data + "}")
+        got = C.validate_files(spark, str(wrong), str(only))
+        assert not got["valid"] and reason in got["reason"]
     late = tmp_path / "late.json"
     late.write_text(files.write_document(S.array(S.struct(("t", S.integer("date")))), [{"t": L + 1}]))
     with pytest.raises(ConversionError, match="1 of 1"):
