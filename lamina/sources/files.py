@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import SchemaError
 from ..schema import Schema, array, check, from_json, infer, row_type, spark_type, to_json
 from . import blocks as B
 
 BLOCK_ROWS = 1000
+#: A task holds the blocks of one file.
+FILE_BLOCKS = 64
 
 
 def write_table(df: DataFrame, path: str, codec: str = "zstd", level: int = 3, mode: str = "errorifexists") -> None:
@@ -53,10 +57,13 @@ class BlockFile(InputPartition):
 class BinarySource(DataSource):
     """``spark.read.format("lamina")``: files of the binary format in a folder that all executors see.
 
-    Each partition is written as one file of blocks of ``block_rows`` rows and
-    each file is read as one partition.  Options: path, schema (a JSON schema
-    document, needed for reading and writing unless a schema is given),
-    block_rows, strings and binary_data (``none`` or a Zstd level), magic.
+    The folder is a path or the URI of any file system that Arrow opens (file,
+    hdfs, s3, gs).  A partition is written as files of at most ``file_blocks``
+    blocks of ``block_rows`` rows; a file is read as one partition, a block at a
+    time, and its rows leave as Arrow batches.  Options: path, schema (a JSON
+    schema document, needed for reading and writing unless a schema is given),
+    block_rows, file_blocks, first_block (``true``: of each file only the first
+    block), strings and binary_data (``none`` or a Zstd level), magic.
     """
 
     @classmethod
@@ -67,9 +74,8 @@ class BinarySource(DataSource):
         files = _files(self.options["path"])
         if not files:
             raise FileNotFoundError(self.options["path"])
-        with open(files[0], "rb") as stream:
-            found, _ = B.read(stream, _magic(self.options))
-        return row_type(found)
+        with opened(files[0]) as stream:
+            return row_type(B.opened(stream, _magic(self.options))[0])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return BinaryReader(schema, dict(self.options))
@@ -78,8 +84,29 @@ class BinarySource(DataSource):
         return BinaryWriter(schema, dict(self.options), overwrite)
 
 
+def _system(path: str):
+    """(Arrow file system, path inside it)."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def opened(path: str):
+    system, own = _system(path)
+    return system.open_input_stream(own)
+
+
+def _listed(path: str, ends: str) -> list[str]:
+    """Paths in the file system of a folder."""
+    system, own = _system(path)
+    found = system.get_file_info(fs.FileSelector(own, allow_not_found=True))
+    return sorted(x.path for x in found if x.is_file and x.path.endswith(ends))
+
+
 def _files(path: str) -> list[str]:
-    return sorted(glob.glob(f"{glob.escape(path)}/*.lamina")) if os.path.isdir(path) else [path] if os.path.exists(path) else []
+    system, own = _system(path)
+    if system.get_file_info(own).is_file:
+        return [path]
+    head = path[: -len(own)] if path.endswith(own) else path[: path.index("://") + 3] if "://" in path else ""
+    return [head + x for x in _listed(path, ".lamina")]
 
 
 def _magic(options) -> bytes:
@@ -91,28 +118,31 @@ def _level(options, key: str):
     return "None" if value == "none" else {"Zstd": {"level": int(value)}}
 
 
+def block_batch(schema: Schema, block: B.Block, kind: pa.Schema) -> pa.RecordBatch:
+    """The rows of a block as an Arrow batch."""
+    rows = B.rows_of(block)
+    if schema.kind == "binary":
+        rows = [{"data": rows.decode("utf-8", "replace") if schema.encoding == "utf8" else rows}] if rows else []
+    elif schema.kind == "array" and schema.inner.kind != "struct":
+        rows = [{"value": r} for r in rows]
+    return pa.RecordBatch.from_pylist(rows, schema=kind)
+
+
 class BinaryReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict) -> None:
-        self.names, self.options = schema.names, options
+        self.wanted, self.options = schema, options
 
     def partitions(self):
         return [BlockFile(p) for p in _files(self.options["path"])]
 
     def read(self, partition):
-        with open(partition.value, "rb") as stream:
-            schema, found = B.read(stream, _magic(self.options))
-        for block in found:
-            rows = B.rows_of(block)
-            if schema.kind == "binary":
-                rows = [{"data": rows.decode("utf-8", "replace") if schema.encoding == "utf8" else rows}] if rows else []
-            elif schema.kind == "array" and schema.inner.kind != "struct":
-                rows = [{"value": r} for r in rows]
-            for row in rows:
-                yield tuple(_shaped(row[n]) for n in self.names)
-
-
-def _shaped(value):
-    return [_shaped(v) for v in value] if isinstance(value, list) else value
+        with opened(partition.value) as stream:
+            schema, _, found = B.opened(stream, _magic(self.options))
+            kind = to_arrow_schema(row_type(schema))
+            for block in found:
+                yield block_batch(schema, block, kind).select(self.wanted.names)
+                if self.options.get("first_block") == "true":
+                    break
 
 
 class BinaryWriter(DataSourceWriter):
@@ -123,40 +153,52 @@ class BinaryWriter(DataSourceWriter):
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        size = int(self.options.get("block_rows", BLOCK_ROWS))
-        path = self.options["path"]
-        os.makedirs(path, exist_ok=True)
+        size, most = int(self.options.get("block_rows", BLOCK_ROWS)), int(self.options.get("file_blocks", FILE_BLOCKS))
+        system, folder = _system(self.options["path"])
+        system.create_dir(folder, recursive=True)
+        context = TaskContext.get()
+        message = WriterCommitMessage()
+        message.paths = []
         found, rows = [], []
+
+        def flush() -> None:
+            # The attempt's own name: what a failed attempt leaves is removed at commit.
+            name = f"{folder}/{context.partitionId():05d}-{self.job}-{context.taskAttemptId()}-{len(message.paths):05d}.part"
+            with system.open_output_stream(name) as out:
+                out.write(B.to_bytes(self.table, found, _level(self.options, "strings"), _level(self.options, "binary_data"), _magic(self.options)))
+            message.paths.append(name)
+            found.clear()
+
         for row in iterator:
             row = plain(row)
             rows.append(row if self.table.kind == "array" and self.table.inner.kind == "struct" else (row["key"], row["value"]) if self.table.kind == "map" else next(iter(row.values())))
             if len(rows) == size:
                 found.append(B.block_of(self.table, rows))
                 rows = []
+                if len(found) == most:
+                    flush()
         if rows:
             found.append(B.block_of(self.table, rows))
-        context = TaskContext.get()
-        # The attempt's own name: what a failed attempt leaves is removed at commit.
-        name = f"{path}/{context.partitionId():05d}-{self.job}-{context.taskAttemptId()}.part"
-        with open(name, "wb") as out:
-            out.write(B.to_bytes(self.table, found, _level(self.options, "strings"), _level(self.options, "binary_data"), _magic(self.options)))
-        message = WriterCommitMessage()
-        message.path = name
+        if found or not message.paths:
+            flush()
         return message
 
     def commit(self, messages) -> None:
         path = self.options["path"]
-        if self.overwrite:
-            for old in _files(path):
-                os.remove(old)
+        system, _ = _system(path)
+        old = _listed(path, ".lamina") if self.overwrite else []
         for m in messages:
-            if m is not None:
-                os.rename(m.path, m.path.removesuffix("part") + "lamina")
+            for part in m.paths if m is not None else ():
+                system.move(part, part.removesuffix("part") + "lamina")
+        for x in old:  # only when the new files are there
+            system.delete_file(x)
         self.abort([])
 
     def abort(self, messages) -> None:
-        for left in glob.glob(f"{glob.escape(self.options['path'])}/*-{self.job}-*.part"):
-            os.remove(left)
+        system, _ = _system(self.options["path"])
+        for left in _listed(self.options["path"], ".part"):
+            if f"-{self.job}-" in left:
+                system.delete_file(left)
 
 
 # JSON documents {"schema": ..., "data": ...}: one file is one document.

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from lamina import cli
 from lamina import schema as S
-from lamina.errors import BinaryError, ConversionError, SchemaError, StripedError
+from lamina.errors import BinaryError, ConversionError, LogicalError, SchemaError, StripedError
 from lamina.functions import encode as E
-from lamina.operators import defaults, merge, stripe, validate
+from lamina.operators import defaults, extract, merge, stripe, validate
 from lamina.plans import convert as C
 from lamina.sources import blocks as B
 from lamina.sources import files
@@ -267,10 +267,32 @@ def test_data_source(spark, tmp_path):
     back = spark.read.format("lamina").option("path", path).load()
     assert sorted(map(tuple, back.collect())) == rows
     assert files.table_schema(back).inner.parts[0][1] == S.integer("date", "deny")
+    small = {"path": f"file://{path}2", "schema": json.dumps(S.to_json(schema)), "block_rows": "100", "file_blocks": "3"}
+    df.coalesce(1).write.format("lamina").options(**small).mode("append").save()
+    again = spark.read.format("lamina").option("path", small["path"])
+    assert sorted(map(tuple, again.load().collect())) == rows and again.load().rdd.getNumPartitions() == 9
+    assert again.option("first_block", "true").load().count() == 9 * 100
     df.limit(5).write.format("lamina").option("path", path).mode("overwrite").save()
     assert spark.read.format("lamina").option("path", path).load().count() == 5
 
 
+def test_extractors(spark):
+    df = spark.createDataFrame([(1, 1.5, "t", [1], (2, "u"))], "i long, d double, b string, a array<long>, s struct<x:long,y:string>")
+    for col, kind in (("i", "int"), ("d", "double"), ("b", "binary"), ("a", "array"), ("s", "struct")):
+        assert df.select(extract.take(df, col, kind)).columns == [col]
+        with pytest.raises(LogicalError, match="field 'value'"):
+            extract.take(df, col, "array" if kind != "array" else "int")
+    assert tuple(extract.take_fields(df, "s").first()) == (2, "u")
+    e = spark.createDataFrame([((1, None, 5),)], "e struct<tag:long,v_0:string,v_1:long>")
+    assert e.select(extract.take_member(RESULT, F.col("e"), "int")).first()[0] == 5
+    with pytest.raises(Exception, match="expected binary, got tag 1"):
+        e.select(extract.take_member(RESULT, F.col("e"), "binary")).collect()
+    kv = spark.createDataFrame([(1, 2)], "key long, value long")
+    assert extract.take_table(kv, "map") is kv
+    with pytest.raises(LogicalError, match="field 'table'"):
+        extract.take_table(df, "binary")
+
+
 def test_native_store_keeps_the_schema(spark, tmp_path):
     schema = S.array(S.struct(("at", S.integer("time_seconds")), ("raw", S.binary())))
     df = spark.createDataFrame([(1, bytearray(b"x"))], S.row_type(schema))
@@ -287,7 +309,7 @@ def test_conversions_and_command_line(spark, tmp_path, capsys):
     assert cli.main(["convert", "-i", out["binary"], "-o", out["json"], "--from", "binary", "--to", "json"], spark) == 0
     with open(people) as a, open(out["json"]) as b:
         assert json.load(a) == json.load(b)
-    for path, rows in ((people, 3), (numbers, 8), (out["binary"], 3), (out["striped"], 3)):
+    for path, rows in ((people, 4), (numbers, 12), (out["binary"], 4), (out["striped"], 4)):
         got = C.info(spark, path)
         assert got["rows"] == rows and got["valid"]
     assert cli.main(["convert", "-i", people, "-o", out["json"], "--from", "striped", "--to", "json"], spark) == 1
