@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..errors import SchemaError
 from ..schema import Schema, member, spark_type
+from .validate import check_shape
 
 
 def lengths(df: DataFrame, col: str, pos: str = "_pos") -> DataFrame:
@@ -134,8 +135,15 @@ def map_rows(keys: DataFrame, values: DataFrame, pos: str = "_pos") -> DataFrame
     return one.join(two, pos, "full").where(fine).select(pos, "key", "value")
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
+def scalars(df: DataFrame, col: str, schema: Schema, pos: str = "_pos") -> DataFrame:
+    """(pos, value) of an int or double column; another type is an error."""
+    check_shape(schema, df.schema[col].dataType)
+    return df.select(pos, F.col(f"`{col}`").cast(spark_type(schema)).alias("value"))
+
+
+def row_count(df: DataFrame, table: Schema) -> DataFrame:
+    """One row (n): of an array its rows, of a map its keys, of a binary table 1 if it has bytes."""
+    return df.agg((F.count_if(F.octet_length("data") > 0) if table.kind == "binary" else F.count("key") if table.kind == "map" else F.count("*")).alias("n"))
 
 
 def at_most_one_block(col: str | Column, size: int = 1000) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from . import schema as S
 from .functions import encode as E
-from .operators import defaults, merge, stripe
+from .operators import defaults, extract, merge, stripe
 from .operators import validate as V
-from .sources.files import json_column
+from .sources.files import json_column, logical_json
 from .streaming.chunks import encoded_chunks
 
 _FOUND: dict[str, tuple[Callable, str]] = {}
@@ -82,25 +82,22 @@ def block_rowcount(t):
     return t("events").groupBy(stripe.at_most_one_block("event_id").alias("block")).agg(F.count("*").alias("n"))
 
 
-@query("select event_id, value from events where event_id < 1000")
-def block_first(t):
-    # A range on the stored column reaches the scan; a function of it would not.
-    return t("events").where("event_id < 1000").select("event_id", "value")
-
-
-@query("select 'events' as name, count(*) as n from events union all select 'orders', count(*) from orders union all select 'lineitem', count(*) from lineitem")
+@query("select 'array' as kind, count(*) as n from events union all select 'map', count(*) from part union all select 'binary', 1 union all select 'nothing', 0")
 def row_count(t):
-    out = None
-    for name in ("events", "orders", "lineitem"):
-        one = t(name).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out.select("name", "n")
+    named = lambda kind, df: df.select(F.lit(kind).alias("kind"), "n")
+    entries = t("part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value"))
+    data = stripe.blobs(t("region").withColumn("block", F.lit(0)), "r_name", "block", "r_regionkey").select("data")
+    out = named("array", stripe.row_count(t("events"), S.array(S.integer())))
+    for kind, df, table in (("map", entries, S.map_table(S.integer(), S.utf8())), ("binary", data, S.binary()), ("nothing", data.select(F.lit(b"").alias("data")), S.binary())):
+        out = out.unionByName(named(kind, stripe.row_count(df, table)))
+    return out
 
 
-@query("""select c_custkey, '{"struct":{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}}' as doc from customer""")
+@query("""select c_custkey, '{"struct":{"c_custkey":' || c_custkey || ',"parts":[{"struct":{"name":"' || c_name || '"}}],"raw":"' || c_mktsegment || '"}}' as doc from customer""")
 def json_project(t):
-    inner = F.struct("c_custkey", "c_name").alias("struct")
-    return t("customer").select("c_custkey", F.to_json(F.struct(inner)).alias("doc"))
+    schema = S.struct(("c_custkey", S.integer()), ("parts", S.array(S.struct(("name", S.utf8())))), ("raw", S.binary()))
+    made = F.struct("c_custkey", F.array(F.struct(F.col("c_name").alias("name"))).alias("parts"), F.col("c_mktsegment").cast("binary").alias("raw"))
+    return t("customer").select("c_custkey", F.to_json(logical_json(schema, made)).alias("doc"))
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
@@ -118,9 +115,11 @@ def validate_date_range(t):
     return t("events").select("event_id", V.valid(S.integer("date"), moved).alias("ok"))
 
 
-@query("select doc_id, true as ok from documents")
+@query("select doc_id, doc_id % 3 <> 0 as ok from documents")
 def validate_utf8(t):
-    return t("documents").select("doc_id", V.valid(S.utf8(), F.col("text")).alias("ok"))
+    """Every third text ends in a byte that no text can end in."""
+    raw = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 3 == 0, F.lit(b"\xe2")).otherwise(F.lit(b"")))
+    return t("documents").select("doc_id", V.valid(S.utf8(), raw).alias("ok"))
 
 
 @query(f"select o_orderkey, epoch_us(o_orderdate) // 1000 + o_custkey * 1000000000 between 0 and {LIMIT} and epoch_us(o_orderdate) // 1000 between 0 and {LIMIT} as ok from orders")
@@ -187,25 +186,41 @@ def merge_arrays(t):
     return stripe.elements(both, "v", "vec_id").select("vec_id", F.col("_at").alias("at"), "value")
 
 
-@query("select c_custkey, c_name, c_acctbal from customer")
+@query("select c_custkey, c_custkey % 5 <> 0 as ok, case when c_custkey % 5 <> 0 then c_name end as c_name, case when c_custkey % 5 <> 0 then c_acctbal / 100000 end as c_acctbal from customer")
 def merge_struct(t):
-    s = F.struct("c_custkey", "c_name", "c_acctbal")
-    return t("customer").select(merge.merged(CUSTOMER, s, s).alias("s")).select("s.*")
+    """The other side's balance differs by less than the epsilon, and every fifth name differs."""
+    small = F.col("c_acctbal") / 100000
+    a = F.struct("c_custkey", "c_name", small.alias("c_acctbal"))
+    name = F.when(F.col("c_custkey") % 5 == 0, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name"))
+    b = F.struct("c_custkey", name.alias("c_name"), (small + 1e-17).alias("c_acctbal"))
+    ok = merge.agree(CUSTOMER, a, b)
+    merged = F.when(ok, merge.merged(CUSTOMER, a, b)).alias("s")
+    return t("customer").select("c_custkey", ok.alias("ok"), merged).select("c_custkey", "ok", "s.c_name", "s.c_acctbal")
 
 
-@query(f"with x as ({_EVENT_SQL}) {_OPEN_SQL}")
+@query(f"with x as ({_EVENT_SQL}), y as ({_OPEN_SQL}) select event_id, event_id % 7 <> 0 and not (tag = 3 and event_id % 2 = 0) as ok, case when event_id % 7 <> 0 and not (tag = 3 and event_id % 2 = 0) then coalesce(v_1, v_3::varchar, v_4::varchar) end as kept from y")
 def merge_enum(t):
+    """Every seventh tag differs, and of even events the user."""
     e = _events(t)
-    return _opened(e.select("event_id", merge.merged(EVENT, F.col("e"), F.col("e")).alias("e")))
+    tag = F.when(F.col("event_id") % 7 == 0, (F.col("e.tag") + 1) % 5).otherwise(F.col("e.tag"))
+    user = F.when(F.col("event_id") % 2 == 0, F.col("e.v_3") + 1).otherwise(F.col("e.v_3"))
+    both = e.withColumn("f", F.struct(tag.alias("tag"), "e.v_0", "e.v_1", "e.v_2", user.alias("v_3"), "e.v_4"))
+    ok = F.coalesce(merge.agree(EVENT, F.col("e"), F.col("f")), F.lit(False))
+    out = both.select("event_id", ok.alias("ok"), F.when(ok, merge.merged(EVENT, F.col("e"), F.col("f"))).alias("m"))
+    return out.select("event_id", "ok", F.coalesce("m.v_1", F.col("m.v_3").cast("string"), F.col("m.v_4").cast("string")).alias("kept"))
 
 
-@query("select o_custkey as key, count(*) as n from orders group by 1")
+@query("select o_orderkey, 0::bigint as at, o_custkey as key, o_orderkey as value from orders union all select o_orderkey, 1, -1, 7 from orders union all select o_orderkey, 2, -2, o_custkey from orders")
 def merge_nested(t):
-    """Maps in cells: an entry for each order, merged with itself."""
-    cell = F.array(F.struct(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value")))
-    table = S.nested(S.map_table(S.integer(), S.integer()))
-    merged = t("orders").select(merge.merged(table, cell, cell).alias("m"))
-    return merged.select(F.explode("m").alias("x")).groupBy("x.key").agg(F.count("*").alias("n"))
+    """Maps in cells, in a wrapper of reversed order: a shared key merges, new ones are appended once."""
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    custkey, orderkey = F.col("o_custkey"), F.col("o_orderkey")
+    first, last = F.lit(-1).cast("long"), F.lit(-2).cast("long")
+    a = F.array(entry(custkey, orderkey), entry(first, F.lit(7).cast("long")))
+    b = F.array(entry(last, custkey), entry(custkey, orderkey), entry(last, custkey))
+    table = S.reverse(S.nested(S.map_table(S.integer(), S.integer())))
+    merged = t("orders").select("o_orderkey", F.posexplode(merge.merged(table, a, b)).alias("at", "x"))
+    return merged.select("o_orderkey", F.col("at").cast("long").alias("at"), "x.key", "x.value")
 
 
 # Defaults and extraction.
@@ -218,17 +233,19 @@ def fill_defaults(t):
     return defaults.fill(some, schema)
 
 
-@query("select c_custkey, c_acctbal from customer")
+@query("select c_custkey, c_name, c_acctbal from customer")
 def take_struct(t):
-    return t("customer").select(F.struct("c_custkey", "c_name", "c_acctbal").alias("s")).select("s.c_custkey", "s.c_acctbal")
+    return extract.take_fields(t("customer").select(F.struct("c_custkey", "c_name", "c_acctbal").alias("s")), "s")
 
 
 # Striping.
 
 
-@query("select event_id as pos, value from events")
+@query("select event_id as pos, 'double' as kind, value from events union all select event_id, 'int', user_id::double from events")
 def stripe_scalar(t):
-    return t("events").select(F.col("event_id").alias("pos"), "value")
+    e = t("events")
+    shown = lambda kind, df: df.select(F.col("event_id").alias("pos"), F.lit(kind).alias("kind"), F.col("value").cast("double").alias("value"))
+    return shown("double", stripe.scalars(e, "value", S.double(), "event_id")).unionByName(shown("int", stripe.scalars(e, "user_id", S.integer(), "event_id")))
 
 
 @query("select doc_id, octet_length(encode(text)) as length from documents")
@@ -258,12 +275,17 @@ def stripe_enum(t):
     return tags.select("event_id", "block", "tag", F.col("_nth").alias("nth"))
 
 
-@query("select l_orderkey, count(*) as length, sum(l_partkey)::bigint as keys from lineitem group by 1")
+@query("select l_orderkey, count(*) over (partition by l_orderkey) as length, l_linenumber, l_partkey from lineitem")
 def stripe_nested(t):
     orders = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("rows"))
-    sizes = stripe.lengths(orders, "rows", "l_orderkey")
-    flat = stripe.elements(orders, "rows", "l_orderkey").groupBy("l_orderkey").agg(F.sum("value.l_partkey").alias("keys"))
-    return sizes.join(flat, "l_orderkey")
+    flat = stripe.elements(orders, "rows", "l_orderkey").select("l_orderkey", "value.*")
+    return stripe.lengths(orders, "rows", "l_orderkey").join(flat, "l_orderkey")
+
+
+@query("select doc_id, coalesce(sum(octet_length(encode(text))) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as at from documents")
+def unstripe_offsets_whole(t):
+    sizes = t("documents").select("doc_id", F.octet_length("text").cast("long").alias("length"))
+    return stripe.offsets(sizes, "length", "doc_id").select("doc_id", F.col("_offset").alias("at"))
 
 
 @query("select doc_id, coalesce(sum(octet_length(encode(text))) over (partition by doc_id // 100 order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as at from documents")
@@ -273,11 +295,13 @@ def unstripe_offsets(t):
     return stripe.offsets(sizes, "length", "doc_id", "block").select("doc_id", F.col("_offset").alias("at"))
 
 
-@query("select vec_id, cast(len(embedding) as bigint) as n, embedding[1] as head, embedding[64] as last from embeddings where vec_id % 2 = 0 union all select vec_id, 0, null, null from embeddings where vec_id % 2 = 1")
+@query("select vec_id, cast(generate_subscripts(embedding, 1) - 1 as bigint) as at, unnest(embedding) as value from embeddings union all select -1 - vec_id, -1, null from embeddings")
 def unstripe_array(t):
-    some = t("embeddings").withColumn("embedding", F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.array().cast("array<float>")))
-    back = stripe.array_rows(stripe.lengths(some, "embedding", "vec_id"), stripe.elements(some, "embedding", "vec_id"), "v", "vec_id")
-    return back.select("vec_id", F.size("v").cast("long").alias("n"), F.get("v", F.lit(0)).alias("head"), F.get("v", F.lit(63)).alias("last"))
+    """All vectors whole, and beside each an empty array under a negative number."""
+    e = t("embeddings").select("vec_id", "embedding")
+    both = e.unionByName(e.select((-1 - F.col("vec_id")).alias("vec_id"), F.array().cast("array<float>").alias("embedding")))
+    back = stripe.array_rows(stripe.lengths(both, "embedding", "vec_id"), stripe.elements(both, "embedding", "vec_id"), "v", "vec_id")
+    return back.select("vec_id", F.posexplode_outer("v").alias("at", "value")).select("vec_id", F.coalesce("at", F.lit(-1)).cast("long").alias("at"), "value")
 
 
 @query("select p_partkey, p_name from part")
@@ -394,3 +418,13 @@ def int_codec_roundtrip(t):
 @query("select event_id, value from events")
 def double_bits_roundtrip(t):
     return t("events").select("event_id", E.bits_double(E.double_bits("value")).alias("value"))
+
+
+@query("select doc_id, octet_length(encode(text)) as length, text from documents")
+def zstd_roundtrip(t):
+    d = t("documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    packed = d.select("doc_id", F.octet_length("raw").cast("long").alias("length"), E.zstd("raw").alias("z"))
+    return packed.select("doc_id", "length", E.unzstd("z", "length").cast("string").alias("text"))
+
+
+from . import queries_storage  # noqa: E402, F401  registers its own

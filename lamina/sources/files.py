@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import uuid
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import SchemaError
-from ..schema import Schema, array, check, from_json, infer, row_type, spark_type, to_json
+from ..schema import Schema, array, check, from_json, infer, member, row_type, spark_type, to_json
 from . import blocks as B
 
 BLOCK_ROWS = 1000
@@ -94,6 +95,19 @@ def opened(path: str):
     return system.open_input_stream(own)
 
 
+def read_text(path: str) -> str:
+    with opened(path) as stream:
+        return stream.read().decode()
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """A file whose folder is made if need be."""
+    system, own = _system(path)
+    system.create_dir(own.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(own) as out:
+        out.write(data)
+
+
 def _listed(path: str, ends: str) -> list[str]:
     """Paths in the file system of a folder."""
     system, own = _system(path)
@@ -287,6 +301,81 @@ def rows_to_json(table: Schema, rows):
     return [value_to_json(table.inner, r) for r in rows]
 
 
+def logical_json(schema: Schema, col: Column) -> Column:
+    """A value in the shape of documents, for ``to_json``: structs and enums under a key that names them; bytes as lossy text."""
+    kind = schema.kind
+    if kind == "struct":
+        return F.struct(F.struct(*[logical_json(s, col[n]).alias(n) for n, s in schema.parts]).alias("struct"))
+    if kind == "array":
+        return F.transform(col, lambda x: logical_json(schema.inner, x))
+    if kind == "enum":
+        value = F.coalesce(*[F.to_json(F.struct(logical_json(s, col[member(t)]).alias("x"))) for _, t, s in schema.parts if s.kind != "unit"], F.lit("{}"))
+        return F.struct(F.struct(col["tag"].alias("tag"), value.alias("value")).alias("enum"))
+    if kind == "nested" and schema.inner.kind == "array":
+        return logical_json(schema.inner, col)
+    if kind == "nested" and schema.inner.kind == "map":
+        key, value = schema.inner.parts
+        return F.transform(col, lambda e: F.struct(logical_json(key, e["key"]).alias("key"), logical_json(value, e["value"]).alias("value")))
+    if kind == "reversed":
+        return logical_json(schema.inner, col)
+    return F.make_valid_utf8(col.cast("string")) if kind in ("binary", "nested") else col
+
+
+# Blocks as rows: each block of a table as one striped document or one file image, made and read on executors.
+
+
+def striped_documents(df: DataFrame, table: Schema, block: str, pos: str) -> DataFrame:
+    """(block, doc): the striped document of each block's rows in the order of ``pos``; a block bounds what one task gathers."""
+    return _by_block(df, table, block, pos, "doc string", lambda rows: json.dumps(B.block_json(B.block_of(table, rows)), ensure_ascii=False))
+
+
+def rows_of_documents(docs: DataFrame, table: Schema, col: str = "doc") -> DataFrame:
+    """The rows of striped documents; a malformed one fails."""
+    return _unblocked(docs.select(F.col(col).cast("binary").alias("x")), table, lambda x: B.block_from_json(json.loads(x)))
+
+
+def file_images(df: DataFrame, table: Schema, block: str, pos: str, strings=B.ZSTD, magic: bytes = B.MAGIC) -> DataFrame:
+    """(block, image): the binary format's bytes of each block."""
+    return _by_block(df, table, block, pos, "image binary", lambda rows: B.to_bytes(table, [B.block_of(table, rows)], strings, strings, magic))
+
+
+def rows_of_images(images: DataFrame, table: Schema, magic: bytes = B.MAGIC) -> DataFrame:
+    return _unblocked(images.select(F.col("image").alias("x")), table, lambda x: B.from_bytes(x, magic)[1][0])
+
+
+def _by_block(df: DataFrame, table: Schema, block: str, pos: str, out: str, make) -> DataFrame:
+    names, whole = row_type(table).names, table.kind == "array" and table.inner.kind == "struct"
+
+    def one(part: pa.Table) -> pa.Table:
+        part = part.sort_by(pos)
+        rows = part.select(names).to_pylist()
+        rows = rows if whole else [(r["key"], r["value"]) if table.kind == "map" else r["value"] for r in rows]
+        name, kind = out.split()
+        return pa.table({"block": pa.array([part[block][0].as_py()], pa.int64()), name: pa.array([make(rows)], pa.string() if kind == "string" else pa.binary())})
+
+    return df.select(block, pos, *[n for n in names if n not in (block, pos)]).groupBy(block).applyInArrow(one, f"block long, {out}")
+
+
+def _unblocked(df: DataFrame, table: Schema, read) -> DataFrame:
+    kind = row_type(table)
+
+    def each(batches):
+        own = to_arrow_schema(kind)
+        for batch in batches:
+            for x in batch.column("x"):
+                yield block_batch(table, read(x.as_py()), own)
+
+    return df.mapInArrow(each, kind)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``; a temporary one only on a local master without that setting."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{found or tempfile.mkdtemp(prefix='lamina-')}/lamina-{uuid.uuid4().hex}"
+
+
 def read_document(text: str) -> tuple[Schema, object]:
     doc = json.loads(text)
     for key in ("schema", "data"):
