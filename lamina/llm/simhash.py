@@ -157,25 +157,47 @@ def sampled_batches(batches, shingle):
 
 
 def parities(found: np.ndarray) -> np.ndarray:
-    """256 bits in four longs: whether the number of hashes that begin with each byte is odd.
+    """One bit for each ending of the hashes, whether the number of hashes with it is odd: 256 bits in longs, or as many as hashes, to a power of two.
 
     Where two sets' bits differ, some hash is in one of them alone: their
     symmetric difference is no smaller than the number of differing bits.
     """
-    odd = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    bits = max(256, 1 << max(0, len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray, longs: int) -> np.ndarray:
+    """The parities of a set by fewer, shorter endings."""
+    while len(bits) > longs:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def possible_batches(batches, similarity):
+    """The pairs whose parities allow the similarity."""
+    for batch in batches:
+        most = (1 - similarity) / (1 + similarity) * (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) + 1e-9
+        one, two = (batch.column(f"bits_{x}") for x in "ab")
+        near = np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            x, y = (side[i].values.to_numpy() for side in (one, two))
+            longs = min(len(x), len(y))
+            near[i] = np.bitwise_count((folded(x, longs) ^ folded(y, longs)).view(np.uint64)).sum() <= most[i]
+        yield batch.select(["a", "b"]).filter(pa.array(near))
+
+
 def prefix_batches(batches, shingle, similarity, common):
-    """(doc_id, h, two hashes and the size of the shingle set, its prefix, its parities)."""
+    """(doc_id, h, two hashes and the size of the shingle set, its prefix, its parities whole and by 256 endings)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             sets = [shingle_set(x.as_py(), shingle) for x in part.column("text")]
             marks = [[xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets] for seed in (1, 2)]
             heads = [in_order(x, common)[: prefix_length(len(x), similarity)].view(np.int64) if len(x) else x.view(np.int64) for x in sets]
-            arrays = [part.column("doc_id"), part.column("h"), *(pa.array(np.array(m, np.uint64).view(np.int64)) for m in marks), pa.array([len(x) for x in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "x", "y", "n", "prefix", "bits"])
+            odd = [parities(x) for x in sets]
+            arrays = [part.column("doc_id"), part.column("h"), *(pa.array(np.array(m, np.uint64).view(np.int64)) for m in marks), pa.array([len(x) for x in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array([folded(x, 4) for x in odd], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "x", "y", "n", "prefix", "bits", "few"])
 
 
 def set_batches(batches, shingle):
@@ -205,7 +227,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     out.  Documents of one set of shingles are one node; nodes are linked exactly
     if the Jaccard similarity of their sets is ``similarity`` or more.  Two such sets share a
     shingle of their prefixes, so all pairs that can be alike meet.  First each
-    node is compared with the smallest one it meets at each shingle; then all
+    node is compared with the smallest and the largest it meets at each shingle; then all
     that meet and are not connected yet are compared, if the parities of their
     sets allow it and they share as many shingles of their prefixes as alike
     ones must.
@@ -213,44 +235,51 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     text = F.col("text").cast("string")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     with scratch() as keep:
-        prefixes = rows.mapInArrow(remote("lamina.llm.simhash:prefix_batches", shingle, similarity, common_shingles(rows, shingle)), "doc_id long, h long, x long, y long, n int, prefix array<long>, bits array<long>")
+        prefixes = rows.mapInArrow(remote("lamina.llm.simhash:prefix_batches", shingle, similarity, common_shingles(rows, shingle)), "doc_id long, h long, x long, y long, n int, prefix array<long>, bits array<long>, few array<long>")
         # Both are written, so rows and nodes keep their numbers.
         marked = keep(Written(prefixes.where("n > 0").withColumnRenamed("n", "size").withColumn("row", F.monotonically_increasing_id()), "prefixes")).df
         first = F.min(F.struct("doc_id", "h", "row")).alias("first")
         named = marked.groupBy("x", "y", "size").agg(first, F.count("*").alias("n"))
         named = Written(named.select("*", F.monotonically_increasing_id().alias("node")), "nodes").df
         own = named.select("node", "first.*")
+        bits = marked.select("row", "bits", "few", F.col("size").alias("n")).join(own.select("row", "node"), "row")
+        bits = Written(bits.select("node", "n", "bits", *(F.col("few")[i].alias(f"bits{i}") for i in range(4))), "bits").df
         keys = marked.select("row", "prefix", F.col("size").alias("n")).join(own.select("row", "node"), "row").select(F.explode("prefix").alias("k"), "node", "n")
-        shared = keys.groupBy("k").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("k", "least")
+        shared = keys.groupBy("k").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
         met = Written(keys.join(shared, "k"), "met").df
-        size = named.select(F.col("node").alias("least"), F.col("size").alias("n_least"))
-        fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-        stars = met.where("node <> least").select("node", "n", "least").distinct().join(size, "least").where(fits(F.col("n"), F.col("n_least")))
-        stars = Written(stars.select(F.col("node").alias("a"), F.col("least").alias("b")), "stars").df
-        close = Written(alike(rows, own, stars, shingle, similarity), "close").df
+        ends = F.explode(F.array("least", "most")).alias("end")
+        stars = met.select("node", ends).where("node <> end").select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct()
+        close = Written(alike(rows, own, bits, stars, shingle, similarity), "close").df
         labels = Written(components(close), "labels").df
         placed = Written(met.select("k", "node", "n").join(labels, "node", "left").select("k", "node", "n", F.coalesce("label", "node").alias("label")), "placed").df
         open_ = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
-        bits = Written(marked.select("row", "bits").join(own.select("row", "node"), "row").select("node", *(F.col("bits")[i].alias(f"bits{i}") for i in range(4))), "bits").df
-        left = Written(placed.join(open_, "k").join(bits, "node"), "open").df
+        left = Written(placed.join(open_, "k").join(bits.drop("n", "bits"), "node"), "open").df
         one, two = (left.select("k", *(F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "label", *(f"bits{j}" for j in range(4))))) for i in "ab")
+        fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
         differ = sum((F.bit_count(F.col(f"bits{j}_a").bitwiseXOR(F.col(f"bits{j}_b"))) for j in range(1, 4)), F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))))
         near = differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9
-        pairs = one.join(two, "k").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fits(F.col("n_a"), F.col("n_b")) & near)
+        pairs = one.join(two, "k").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fits & near)
         # Beyond the prefix that ends first a set has n - prefix shingles, which is the floor of similarity * n or one less.
         most_beyond = similarity * F.greatest("n_a", "n_b") + 1
         enough = F.col("shared") >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - most_beyond
         pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(enough)
         pairs = Written(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs").df
-        linked = Written(components(close.unionByName(alike(rows, own, pairs, shingle, similarity))), "linked").df
+        linked = Written(components(close.unionByName(alike(rows, own, bits, pairs, shingle, similarity))), "linked").df
         grouped = named.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
         firsts = grouped.groupBy("label").agg(F.min("first").alias("first"))
         by_set = keep(Written(grouped.drop("first").join(firsts, "label").select("x", "y", "size", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.h").alias("first_h")), "firsts")).df
     return attach(marked.select("doc_id", "h", "x", "y", "size"), by_set, ["x", "y", "size"]).select("doc_id", "h", "first_doc", "first_h")
 
 
-def alike(rows: DataFrame, own: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are ``similarity`` alike; ``own`` has (node, doc_id, h) of a document of each node."""
+def alike(rows: DataFrame, own: DataFrame, bits: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are ``similarity`` alike.
+
+    ``own`` has (node, doc_id, h) of a document of each node and ``bits`` (node,
+    n, bits) the size and the parities of its set, which spare most pairs the sets.
+    """
+    one, two = (bits.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    sized = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    pairs = Written(sized.mapInArrow(remote("lamina.llm.simhash:possible_batches", similarity), "a long, b long"), "possible").df
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = own.join(wanted, "node").select("node", F.col("doc_id").alias("own_doc"), F.col("h").alias("own_h"))
     texts = rows.join(wanted, (F.col("doc_id") == F.col("own_doc")) & (F.col("h") == F.col("own_h"))).select("node", "text")

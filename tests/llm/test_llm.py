@@ -173,11 +173,15 @@ def test_near_copies_equal_brute_force_over_exact_jaccard(spark):
 
 def test_parities_bound_the_symmetric_difference():
     rng = np.random.default_rng(6)
-    for n, m, both in ((0, 5, 0), (40, 44, 30), (300, 20, 10), (90, 90, 90)):
+    for n, m, both in ((0, 5, 0), (40, 44, 30), (300, 20, 10), (90, 90, 90), (1500, 1100, 1000), (2000, 2000, 1990)):
         every = np.unique(rng.integers(0, 2**64, n + m, dtype=np.uint64))
         a, b = every[:n], every[n - both : n - both + m]
-        differ = sum(int(x ^ y).bit_count() for x, y in zip(*(map(int, simhash.parities(s).view(np.uint64)) for s in (a, b)), strict=True))
+        bits = [simhash.parities(s) for s in (a, b)]
+        longs = min(map(len, bits))
+        differ = int(np.bitwise_count((simhash.folded(bits[0], longs) ^ simhash.folded(bits[1], longs)).view(np.uint64)).sum())
         assert differ <= len(np.setxor1d(a, b)) and (differ > 0) == (len(np.setxor1d(a, b)) > 0)
+        for x, s in zip(bits, (a, b), strict=True):
+            assert len(x) * 64 >= len(s) and np.array_equal(simhash.folded(x, 4), simhash.folded(simhash.folded(x, max(4, len(x) // 2)), 4))
 
 
 def plain_groups(texts):
