@@ -158,6 +158,15 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], share: int = 200)
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
 
 
+def meet(rows: DataFrame, keys: DataFrame, on, how: str = "inner", most: int = 1_000_000) -> DataFrame:
+    """``rows`` joined with ``keys``, a written table of a few longs a row.
+
+    Up to ``most`` rows, about 100 MB in memory, ``keys`` are counted and
+    broadcast, so that texts in ``rows`` are not shuffled; beyond it both are.
+    """
+    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, on, how)
+
+
 def slice_of(n: int, k: int, part: int = 0, most: float = 1.0) -> tuple[int, int]:
     """The hashes (after, up to) of 63 bits that about ``k`` of ``n`` rows have, ``most`` of them at most; parts do not overlap.
 

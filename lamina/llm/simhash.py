@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, attach, components, fresh, remote, scratch, table
+from .common import Written, attach, components, fresh, meet, remote, scratch, table
 
 #: One text of so many is read to find common shingles, of which at most so many are told apart.
 SAMPLE, COMMON = 16, 100_000
@@ -281,8 +281,8 @@ def alike(rows: DataFrame, own: DataFrame, bits: DataFrame, pairs: DataFrame, sh
     sized = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
     pairs = Written(sized.mapInArrow(remote("lamina.llm.simhash:possible_batches", similarity), "a long, b long"), "possible").df
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = own.join(wanted, "node").select("node", F.col("doc_id").alias("own_doc"), F.col("h").alias("own_h"))
-    texts = rows.join(wanted, (F.col("doc_id") == F.col("own_doc")) & (F.col("h") == F.col("own_h"))).select("node", "text")
+    wanted = Written(own.join(wanted, "node").select("node", F.col("doc_id").alias("own_doc"), F.col("h").alias("own_h")), "wanted").df
+    texts = meet(rows, wanted, (F.col("doc_id") == F.col("own_doc")) & (F.col("h") == F.col("own_h"))).select("node", "text")
     sets = Written(texts.mapInArrow(remote("lamina.llm.simhash:set_batches", shingle), "node long, own array<long>"), "sets").df
     one, two = (sets.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("own_a", "own_b")))
@@ -303,6 +303,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     fates = found.groupBy(F.col("doc_id").alias(doc), F.col("h").alias(h)).agg(F.max(F.when(stays, 2).otherwise(1)).alias(fate), F.count("*").alias("n"))
     fates = Written(fates.where(f"{fate} = 1 or n > 1").select(doc, h, fate), "fates").df
     same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
-    once = docs.join(fates, same, "left_anti")
-    repeated = docs.join(fates.where(f"{fate} = 2"), same).dropDuplicates([doc, h]).select(*[f"`{c}`" for c in docs.columns])
+    once = meet(docs, fates, same, "left_anti")
+    repeated = meet(docs, fates.where(f"{fate} = 2"), same).dropDuplicates([doc, h]).select(*[f"`{c}`" for c in docs.columns])
     return once.unionByName(repeated)
