@@ -20,6 +20,9 @@ from pyspark.sql.types import StructType
 ROOT = str(Path(__file__).resolve().parents[2])
 _LOCAL: list[str] = []
 
+#: Spark's own setting to delete the shuffle files of a query as soon as it has ended, not when the driver's heap is next collected.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -90,13 +93,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting for the time of the block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Written:
-    """A table written to the shared folder, which cuts lineage and survives lost executors."""
+    """A table written to the shared folder, which cuts lineage and survives lost executors.
+
+    Nothing reads the shuffles of the write again, so their files go with its end.
+    """
 
     def __init__(self, df: DataFrame, name: str = "t") -> None:
         spark = df.sparkSession
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with setting(spark, FREE_SHUFFLES, "true"):
+            df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         _SCOPES[-1].append(self)
 
