@@ -242,9 +242,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         named = marked.groupBy("x", "y", "size").agg(first, F.count("*").alias("n"))
         named = Written(named.select("*", F.monotonically_increasing_id().alias("node")), "nodes").df
         own = named.select("node", "first.*")
-        bits = marked.select("row", "bits", "few", F.col("size").alias("n")).join(own.select("row", "node"), "row")
-        bits = Written(bits.select("node", "n", "bits", *(F.col("few")[i].alias(f"bits{i}") for i in range(4))), "bits").df
-        keys = marked.select("row", "prefix", F.col("size").alias("n")).join(own.select("row", "node"), "row").select(F.explode("prefix").alias("k"), "node", "n")
+        sets = marked.select("row", "prefix", "bits", "few", F.col("size").alias("n")).join(own.select("row", "node"), "row")
+        sets = Written(sets.select("node", "n", "prefix", "bits", *(F.col("few")[i].alias(f"bits{i}") for i in range(4))), "sets").df
+        bits = sets.drop("prefix")
+        keys = sets.select(F.explode("prefix").alias("k"), "node", "n")
         shared = keys.groupBy("k").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
         met = Written(keys.join(shared, "k"), "met").df
         ends = F.explode(F.array("least", "most")).alias("end")
