@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lamina.llm import ann, bpe, langid, media, packing, sentencepieces, sharding, simhash, suffixes, tokencount, toxicity
+from lamina.llm import ann, bpe, common, langid, media, packing, sentencepieces, sharding, simhash, suffixes, tokencount, toxicity
 from lamina.llm.common import components, sampled, slice_of, small_table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, extra array<int>"
@@ -807,3 +807,15 @@ def test_centroid_cosines_equal_plain_ones(spark):
         for lang, cos in zip(model.languages, found, strict=True):
             centres = [v for v, o in zip(model.vectors, model.owner, strict=True) if model.languages[o] == lang]
             assert max(sum(w * v[k] for k, w in x.items()) / size for v in centres) == pytest.approx(float(cos), abs=1e-4)
+
+
+def test_written_tables_leave_the_session_as_it_was(spark):
+    before = spark.conf.get(common.FREE_SHUFFLES, None)
+    df = spark.range(100).withColumn("k", F.col("id") % 7).groupBy("k").agg(F.count("*").alias("n"))
+    made = common.Written(df, "freed")
+    assert spark.conf.get(common.FREE_SHUFFLES, None) == before
+    assert sorted(map(tuple, made.df.collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, common.Written(df, "freed").df.collect())) == sorted(map(tuple, df.collect()))  # the same plan again, its shuffle long gone
+    with pytest.raises(Exception, match="deliberate"):
+        common.Written(df.select(F.raise_error(F.lit("deliberate")).alias("x")), "freed")
+    assert spark.conf.get(common.FREE_SHUFFLES, None) == before
