@@ -12,8 +12,9 @@ bucket emits its ball over the bits the mask leaves free; at most
 free + 1 distinct fingerprints can meet in one point, whatever the bucket's
 size, and every meeting is a true link.
 
-``near_copies`` and ``keep_one`` serve similarities that one fingerprint cannot
-reach within two bits, by prefix filtering over the shingles: see there.
+``near_copies`` and ``keep_one`` check such links by exact similarity, and find
+the alike texts whose fingerprints lie farther apart by prefix filtering over
+the shingles: see there.
 
 Defined results: null and wordless texts have fingerprint zero and are linked
 like any other; fewer words than a shingle make one shingle of all; null
@@ -54,18 +55,23 @@ def over_half(hashes: np.ndarray) -> int:
     return int(out)
 
 
-def simhash(text: str | None, shingle: int) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of the text's shingles in order, repeats included; wordless texts have none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        return over_half(np.array([digest(joined, 42)], dtype=np.uint64))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    return over_half(np.array([digest(joined[a:b], 42) for a, b in spans], dtype=np.uint64))
+    n = max(1, len(words) - shingle + 1)
+    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+
+
+def simhash(text: str | None, shingle: int) -> int:
+    found = shingle_hashes(text, shingle)
+    return over_half(found) if len(found) else 0
 
 
 def fingerprint_batches(batches, shingle):
@@ -99,6 +105,14 @@ def links(prints: DataFrame) -> DataFrame:
     return points.select(F.array_min("near").alias("b"), F.explode("near").alias("a")).where("a <> b").distinct()
 
 
+def print_links(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) between the nodes of ``prints`` (fp, node); they connect the nodes whose fingerprints are equal or linked."""
+    firsts = Written(prints.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "print-firsts").df
+    equal = attach(prints, firsts, ["fp"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = links(firsts.select(F.lit(0).alias("s"), "fp", F.col("first").alias("node")))
+    return Written(equal.unionByName(near), "print-links").df
+
+
 def simhash_components(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, fp long, component_id): component_id is the smallest doc_id reachable over links of at most two bits."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -118,21 +132,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near-copies by similarity: prefix filtering proposes every pair that can be alike, the shingle sets decide.
+# Near-copies by similarity: fingerprints link first and the shingle sets check them; what lies farther apart meets by prefix filtering.
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The sorted hashes of the text's shingles; wordless texts have none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
-    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -188,16 +193,18 @@ def possible_batches(batches, similarity):
 
 
 def prefix_batches(batches, shingle, similarity, common):
-    """(doc_id, h, two hashes and the size of the shingle set, its prefix, its parities whole and by 256 endings)."""
+    """(doc_id, h, the fingerprint, two hashes and the size of the shingle set, its prefix, its parities whole and by 256 endings)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            sets = [shingle_set(x.as_py(), shingle) for x in part.column("text")]
+            found = [shingle_hashes(x.as_py(), shingle) for x in part.column("text")]
+            prints = np.array([over_half(x) if len(x) else 0 for x in found], np.uint64).view(np.int64)
+            sets = [np.unique(x) for x in found]
             marks = [[xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets] for seed in (1, 2)]
             heads = [in_order(x, common)[: prefix_length(len(x), similarity)].view(np.int64) if len(x) else x.view(np.int64) for x in sets]
             odd = [parities(x) for x in sets]
-            arrays = [part.column("doc_id"), part.column("h"), *(pa.array(np.array(m, np.uint64).view(np.int64)) for m in marks), pa.array([len(x) for x in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array([folded(x, 4) for x in odd], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "x", "y", "n", "prefix", "bits", "few"])
+            arrays = [part.column("doc_id"), part.column("h"), pa.array(prints), *(pa.array(np.array(m, np.uint64).view(np.int64)) for m in marks), pa.array([len(x) for x in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array([folded(x, 4) for x in odd], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "fp", "x", "y", "n", "prefix", "bits", "few"])
 
 
 def set_batches(batches, shingle):
@@ -220,37 +227,43 @@ def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, h, first_doc, first_h): for each document with words the first document of its group.
+    """(doc_id, h, fp, first_doc, first_h): for each document with words its fingerprint and the first document of its group.
 
     A document is a doc_id with a text, told by the text's hash h; the first is
     the one with the smallest doc_id, then h.  Rows without a doc_id are left
     out.  Documents of one set of shingles are one node; nodes are linked exactly
-    if the Jaccard similarity of their sets is ``similarity`` or more.  Two such sets share a
-    shingle of their prefixes, so all pairs that can be alike meet.  First each
-    node is compared with the smallest and the largest it meets at each shingle; then all
-    that meet and are not connected yet are compared, if the parities of their
-    sets allow it and they share as many shingles of their prefixes as alike
-    ones must.
+    if the Jaccard similarity of their sets is ``similarity`` or more.
+
+    The links of the nodes' fingerprints (of their first documents) come first,
+    checked by that similarity.  Two bits reach only texts that are nearly the
+    same, so groups that they leave apart are compared in an exact way: two
+    alike sets share a shingle of their prefixes, so all pairs that can be alike
+    meet.  Each node is compared with the first node of the smallest and of the
+    largest group it meets at each shingle; then all that meet and are not
+    connected yet are compared, if the parities of their sets allow it and they
+    share as many shingles of their prefixes as alike ones must.
     """
     text = F.col("text").cast("string")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     with scratch() as keep:
-        prefixes = rows.mapInArrow(remote("lamina.llm.simhash:prefix_batches", shingle, similarity, common_shingles(rows, shingle)), "doc_id long, h long, x long, y long, n int, prefix array<long>, bits array<long>, few array<long>")
+        prefixes = rows.mapInArrow(remote("lamina.llm.simhash:prefix_batches", shingle, similarity, common_shingles(rows, shingle)), "doc_id long, h long, fp long, x long, y long, n int, prefix array<long>, bits array<long>, few array<long>")
         # Both are written, so rows and nodes keep their numbers.
         marked = keep(Written(prefixes.where("n > 0").withColumnRenamed("n", "size").withColumn("row", F.monotonically_increasing_id()), "prefixes")).df
         first = F.min(F.struct("doc_id", "h", "row")).alias("first")
         named = marked.groupBy("x", "y", "size").agg(first, F.count("*").alias("n"))
         named = Written(named.select("*", F.monotonically_increasing_id().alias("node")), "nodes").df
         own = named.select("node", "first.*")
-        sets = marked.select("row", "prefix", "bits", "few", F.col("size").alias("n")).join(own.select("row", "node"), "row")
-        sets = Written(sets.select("node", "n", "prefix", "bits", *(F.col("few")[i].alias(f"bits{i}") for i in range(4))), "sets").df
-        bits = sets.drop("prefix")
-        keys = sets.select(F.explode("prefix").alias("k"), "node", "n")
-        shared = keys.groupBy("k").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+        sets = marked.select("row", "fp", "prefix", "bits", "few", F.col("size").alias("n")).join(own.select("row", "node"), "row")
+        sets = Written(sets.select("node", "n", "fp", "prefix", "bits", *(F.col("few")[i].alias(f"bits{i}") for i in range(4))), "sets").df
+        bits = sets.drop("prefix", "fp")
+        printed = Written(alike(rows, own, bits, print_links(sets.select("fp", "node")), shingle, similarity), "printed").df
+        groups = Written(components(printed), "groups").df
+        keys = sets.select("node", "n", "prefix").join(groups, "node", "left").select(F.explode("prefix").alias("k"), "node", "n", F.coalesce("label", "node").alias("label"))
+        shared = keys.groupBy("k").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
         met = Written(keys.join(shared, "k"), "met").df
         ends = F.explode(F.array("least", "most")).alias("end")
-        stars = met.select("node", ends).where("node <> end").select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct()
-        close = Written(alike(rows, own, bits, stars, shingle, similarity), "close").df
+        stars = met.select("node", "label", ends).where("label <> end").select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct()
+        close = Written(printed.unionByName(alike(rows, own, bits, stars, shingle, similarity)), "close").df
         labels = Written(components(close), "labels").df
         placed = Written(met.select("k", "node", "n").join(labels, "node", "left").select("k", "node", "n", F.coalesce("label", "node").alias("label")), "placed").df
         open_ = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
@@ -269,7 +282,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         grouped = named.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
         firsts = grouped.groupBy("label").agg(F.min("first").alias("first"))
         by_set = keep(Written(grouped.drop("first").join(firsts, "label").select("x", "y", "size", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.h").alias("first_h")), "firsts")).df
-    return attach(marked.select("doc_id", "h", "x", "y", "size"), by_set, ["x", "y", "size"]).select("doc_id", "h", "first_doc", "first_h")
+    return attach(marked.select("doc_id", "h", "fp", "x", "y", "size"), by_set, ["x", "y", "size"]).select("doc_id", "h", "fp", "first_doc", "first_h")
 
 
 def alike(rows: DataFrame, own: DataFrame, bits: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:

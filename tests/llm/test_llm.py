@@ -218,6 +218,48 @@ def test_keep_one_tells_documents_of_one_doc_id_by_their_texts(spark):
     assert got == want and (2, " ".join(b)) in got and (3, " ".join(c)) in got
 
 
+def test_print_links_connect_equal_and_near_fingerprints(spark):
+    rng = random.Random(40)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    prints += [p ^ 1 << rng.randrange(64) for p in prints[:20]] + [p ^ 5 << rng.randrange(60) for p in prints[10:30]] + prints[5:25] * 3 + [0] * 60
+    rows = [(p - (1 << 64) if p >> 63 else p, n) for n, p in enumerate(prints)]
+    found = {r.node: r.label for r in components(simhash.print_links(spark.createDataFrame(rows, "fp long, node long"))).collect()}
+    label = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert [found.get(n, n) for n in range(len(prints))] == label
+
+
+def test_the_pipeline_links_near_copies_by_fingerprints_first(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    rng = random.Random(41)
+    vocab = [f"v{i}" for i in range(900)]
+    texts = [rng.choices(vocab, k=700) for _ in range(8)]
+    texts += [[*t[:-1], "changed"] for t in texts[:5]]  # few bits of the fingerprint
+    texts += [t[:-60] + rng.choices(vocab, k=60) for t in texts[5:8]]  # alike, but many bits
+    line = rng.choices(vocab, k=30)  # most of both texts, so of their fingerprints, but not of their sets
+    texts += [line * 9 + rng.choices(vocab, k=25) for _ in range(2)]
+    texts = [" ".join(t) for t in texts]
+    prints = [simhash.simhash(t, 5) for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2}
+    linked, proposed, links, alike = [], [], simhash.links, simhash.alike
+    monkeypatch.setattr(simhash, "links", lambda prints: linked.append({r.fp % 2**64 for r in prints.collect()}) or links(prints))
+    monkeypatch.setattr(simhash, "alike", lambda *a: proposed.append({(r.a, r.b) for r in a[3].collect()}) or alike(*a))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    kept = {r.doc_id for r in p.drop_near_copies(spark, df, "").collect()}
+    label = plain_groups(texts)
+    assert kept == set(label) and len(kept) < len(texts)
+    # All fingerprints are linked, and what they link is compared before anything else.
+    assert linked == [set(prints)]
+    assert len(proposed[0]) == len(near) >= 3
+    found = simhash.near_copies(df, 5).collect()
+    assert {r.doc_id: r.fp % 2**64 for r in found} == dict(enumerate(prints))
+
+
 # Sharding.
 
 
