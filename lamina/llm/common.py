@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +20,8 @@ from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _LOCAL: list[str] = []
+#: The module whose function this worker ran last.
+_AT: list[str] = []
 
 #: Spark's own setting to delete the shuffle files of a query as soon as it has ended, not when the driver's heap is next collected.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -32,7 +35,8 @@ def remote(target: str, *args) -> Callable:
     """A ``mapInArrow`` function that calls ``module:function(batches, *args)``.
 
     Only the name and ``args`` travel, so what a module caches (a tokenizer, a
-    word cache) lives as long as the Python worker and not just for one task.
+    word cache) lives as long as the Python worker works for that module and
+    not just for one task.
     """
     module, name = target.split(":")
     root = ROOT
@@ -43,6 +47,7 @@ def remote(target: str, *args) -> Callable:
 
         if root not in sys.path:
             sys.path.append(root)
+        importlib.import_module("lamina.llm.common").turn_to(module)
         found = getattr(importlib.import_module(module), name)(batches, *args)
         # A function of a group returns its table at once.
         return importlib.import_module("lamina.llm.common").then_give_back(found) if hasattr(found, "__next__") else found
@@ -50,6 +55,16 @@ def remote(target: str, *args) -> Callable:
     return run
 
 
+def turn_to(module: str) -> None:
+    """Close what the worker opened (``_OPEN``) for another module: workers outlive stages, and their tokenizers would stay beside the next one."""
+    if _AT and _AT[0] != module:
+        for name, other in list(sys.modules.items()):
+            if name.startswith("lamina.llm."):
+                getattr(other, "_OPEN", {}).clear()
+        give_back()
+    _AT[:] = [module]
+
+
 def then_give_back(found: Iterator) -> Iterator:
     try:
         yield from found

@@ -72,7 +72,7 @@ def grams(text: str | None) -> np.ndarray:
 
 @dataclass
 class TextCnn:
-    rows: dict[int, int]  # hash bucket -> embedding row; row 0 is the zero vector
+    known: np.ndarray  # sorted hash buckets, whose embedding rows follow row 0, the zero vector; as an array, as every worker holds one
     embedding: np.ndarray
     filters: list[np.ndarray]  # by width: (width, SIZE, FILTERS)
     bias: list[np.ndarray]
@@ -146,15 +146,14 @@ def train(hashed: list[np.ndarray], counts: np.ndarray, labels: np.ndarray, stan
     """A classifier from the hash buckets of texts' words, the texts' n-gram counts by row, and labels; ``stand_for``: how many rows a sampled row of each label stands for; ``by_odds``: whether the first dimension begins at log odds."""
     rng = np.random.default_rng(seed)
     known = np.unique(np.concatenate(hashed))
-    rows = dict(zip(known.tolist(), range(1, len(known) + 1), strict=True))
     ids = [(np.searchsorted(known, t) + 1).astype(np.int32) for t in hashed]
     held = np.arange(len(ids)) % 5 == 4  # for the thresholds
     fitted = np.flatnonzero(~held)
-    embedding = rng.normal(0, 0.1, (len(rows) + 1, SIZE))
+    embedding = rng.normal(0, 0.1, (len(known) + 1, SIZE))
     embedding[0] = 0
-    net = TextCnn(rows, embedding, [rng.normal(0, 0.3, (w, SIZE, FILTERS)) for w in WIDTHS], [np.zeros(FILTERS) for _ in WIDTHS], rng.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0, {-1: 0.5}, langid.fit(counts.astype(np.float32), ["text"] * len(counts), TONGUES))
+    net = TextCnn(known, embedding, [rng.normal(0, 0.3, (w, SIZE, FILTERS)) for w in WIDTHS], [np.zeros(FILTERS) for _ in WIDTHS], rng.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0, {-1: 0.5}, langid.fit(counts.astype(np.float32), ["text"] * len(counts), TONGUES))
     if by_odds:
-        seen = np.zeros((2, len(rows) + 1))
+        seen = np.zeros((2, len(known) + 1))
         for i in fitted:
             seen[labels[i], np.unique(ids[i])] += 1
         odds = (seen + 0.5) / (np.bincount(labels[fitted], minlength=2)[:, None] + 1)
@@ -202,11 +201,13 @@ def calibrate(net: TextCnn, told: np.ndarray, ids: list[np.ndarray], labels: np.
 
 
 class _Rows(dict):
-    def __init__(self, rows: dict[int, int]) -> None:
-        self.rows = rows
+    def __init__(self, known: np.ndarray) -> None:
+        self.known = known
 
     def __missing__(self, word: str) -> int:
-        row = self[word] = self.rows.get(bucket(word), 0)
+        own = bucket(word)
+        at = int(self.known.searchsorted(own))
+        row = self[word] = at + 1 if at < len(self.known) and self.known[at] == own else 0
         return row
 
 
@@ -242,7 +243,7 @@ def portions(batch: pa.RecordBatch):
 
 
 def score_batches(batches, net):
-    cache = _Rows(net.rows) if net else None
+    cache = _Rows(net.known) if net else None
     for batch in batches:
         for part in portions(batch):
             got = scored(part.column("text").to_pylist(), net, cache) if net else np.zeros(part.num_rows)
@@ -250,7 +251,7 @@ def score_batches(batches, net):
 
 
 def keep_batches(batches, net):
-    cache = _Rows(net.rows)
+    cache = _Rows(net.known)
     for batch in batches:
         for part in portions(batch):
             yield part.filter(pa.array(scored(part.column("text").to_pylist(), net, cache) < 0.5))

@@ -123,6 +123,24 @@ def test_components_of_paths_stars_and_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_workers_close_what_another_module_opened(monkeypatch):
+    monkeypatch.setattr(bpe, "_OPEN", {})
+    monkeypatch.setattr(common, "_AT", [])
+    first, other = common.remote("lamina.llm.simhash:fingerprint_batches", 3), common.remote("lamina.llm.toxicity:learn_batches")
+    assert list(first(iter([]))) == []
+    bpe._OPEN["path"] = "a tokenizer"
+    assert list(first(iter([]))) == [] and bpe._OPEN
+    assert list(other(iter([]))) == [] and not bpe._OPEN
+
+
+def test_words_find_their_rows_in_an_array():
+    known = np.array(sorted({toxicity.bucket(w) for w in ("one", "two", "three")}))
+    rows = toxicity._Rows(known)
+    assert [known[rows[w] - 1] for w in ("one", "two", "three")] == [toxicity.bucket(w) for w in ("one", "two", "three")]
+    assert {rows[f"other{i}"] for i in range(50)} == {0}
+    assert toxicity._Rows(np.array([], np.int64))["one"] == 0
+
+
 def test_small_tables_keep_rows_and_types(spark):
     ddl = "a long, b int, c boolean"
     rows = [(1, None, True), (None, -2, None), (1, None, True)]
