@@ -202,7 +202,7 @@ def calibrate(net: TextCnn, told: np.ndarray, ids: list[np.ndarray], labels: np.
 
 class _Rows(dict):
     def __init__(self, known: np.ndarray) -> None:
-        self.known = known
+        self.known = known.astype(np.int64)  # a search for a long would copy an array of another kind each time
 
     def __missing__(self, word: str) -> int:
         own = bucket(word)

@@ -139,6 +139,7 @@ def test_words_find_their_rows_in_an_array():
     assert [known[rows[w] - 1] for w in ("one", "two", "three")] == [toxicity.bucket(w) for w in ("one", "two", "three")]
     assert {rows[f"other{i}"] for i in range(50)} == {0}
     assert toxicity._Rows(np.array([], np.int64))["one"] == 0
+    assert toxicity._Rows(known.astype("<i4")).known.dtype == np.int64  # of the kind that is searched for
 
 
 def test_small_tables_keep_rows_and_types(spark):
