@@ -37,6 +37,8 @@ from .common import Written, attach, components, fresh, meet, remote, scratch, t
 
 #: One text of so many is read to find common shingles, of which at most so many are told apart.
 SAMPLE, COMMON = 16, 100_000
+#: Nodes that may meet at a shingle before those near their largest group are compared by what sets them apart from it.
+CROWD = 32
 
 _ONES = np.uint64(0x0101010101010101)
 
@@ -192,6 +194,31 @@ def possible_batches(batches, similarity):
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
+def around_batches(batches, similarity):
+    """(node, pivot, core): what may be alike to a core node of its pivot, and whether it is one.
+
+    Differing parities keep the triangle inequality: what is alike to a core
+    node differs from the pivot in no more bits than the core may, and those of
+    an alike pair.  ``most`` leaves unlike sets, which differ in half of all bits, out.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    for batch in batches:
+        sizes, middles = (batch.column(x).to_numpy().astype(float) for x in ("n", "n_pivot"))
+        one, two = (batch.column(x) for x in ("bits", "bits_pivot"))
+        core, near = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
+        for i, (n, m) in enumerate(zip(sizes, middles, strict=True)):
+            x, y = (side[i].values.to_numpy() for side in (one, two))
+            most = 0.42 * 64 * len(y) - 2.1 * c * m
+            if most < 0 or not 0.9 * similarity * m - 1e-9 <= n <= 1.1 * m / similarity + 1e-9:
+                continue
+            longs = min(len(x), len(y))
+            differ = np.bitwise_count((folded(x, longs) ^ folded(y, longs)).view(np.uint64)).sum()
+            core[i] = longs == len(y) and differ <= most and 0.9 * m <= n <= 1.1 * m
+            near[i] = core[i] or differ <= most + c * (1.1 * m + n) + 1e-9
+        found = batch.select(["node", "pivot"]).append_column("core", pa.array(core))
+        yield found.filter(pa.array(near))
+
+
 def prefix_batches(batches, shingle, similarity, common):
     """(doc_id, h, the fingerprint, two hashes and the size of the shingle set, its prefix, its parities whole and by 256 endings)."""
     for batch in batches:
@@ -241,7 +268,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     meet.  Each node is compared with the first node of the smallest and of the
     largest group it meets at each shingle; then all that meet and are not
     connected yet are compared, if the parities of their sets allow it and they
-    share as many shingles of their prefixes as alike ones must.
+    share as many shingles of their prefixes as alike ones must.  Where more than
+    ``CROWD`` meet, those near the largest group there are compared by their edits
+    instead: see ``by_edits``.
     """
     text = F.col("text").cast("string")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -265,26 +294,95 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         stars = met.select("node", "label", ends).where("label <> end").select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct()
         close = Written(printed.unionByName(alike(rows, own, bits, stars, shingle, similarity)), "close").df
         labels = Written(components(close), "labels").df
-        placed = Written(met.select("k", "node", "n").join(labels, "node", "left").select("k", "node", "n", F.coalesce("label", "node").alias("label")), "placed").df
-        open_ = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
-        left = Written(placed.join(open_, "k").join(bits.drop("n", "bits"), "node"), "open").df
+        counted = labels.join(labels.groupBy("label").agg(F.count("*").alias("members")), "label")
+        placed = met.select("k", "node", "n").join(counted, "node", "left").select("k", "node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("members", F.lit(1)).alias("members"))
+        placed = Written(placed, "placed").df
+        open_ = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", "members").alias("pivot"), F.count("*").alias("met"))
+        open_ = open_.where("low <> high").select("k", F.when(F.col("met") > CROWD, F.col("pivot")).alias("pivot"))
+        left = Written(placed.drop("members").join(open_, "k").join(bits.drop("n", "bits"), "node"), "open").df
+        crowd = Written(left.where("pivot is not null").select("node", "label", "pivot").distinct(), "crowd").df
+        core, edited, hub_links = by_edits(rows, own, bits, crowd, shingle, similarity)
+        left = left.join(core, ["node", "pivot"], "left_anti")
         one, two = (left.select("k", *(F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "label", *(f"bits{j}" for j in range(4))))) for i in "ab")
         fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-        differ = sum((F.bit_count(F.col(f"bits{j}_a").bitwiseXOR(F.col(f"bits{j}_b"))) for j in range(1, 4)), F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))))
-        near = differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9
-        pairs = one.join(two, "k").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fits & near)
+        pairs = one.join(two, "k").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fits & bits_near(similarity))
         # Beyond the prefix that ends first a set has n - prefix shingles, which is the floor of similarity * n or one less.
         most_beyond = similarity * F.greatest("n_a", "n_b") + 1
         enough = F.col("shared") >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - most_beyond
         pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(enough)
-        pairs = Written(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs").df
-        linked = Written(components(close.unionByName(alike(rows, own, bits, pairs, shingle, similarity))), "linked").df
+        pairs = Written(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionByName(edited).distinct(), "pairs").df
+        linked = Written(components(close.unionByName(hub_links).unionByName(alike(rows, own, bits, pairs, shingle, similarity))), "linked").df
         grouped = named.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
         firsts = grouped.groupBy("label").agg(F.min("first").alias("first"))
         by_set = keep(Written(grouped.drop("first").join(firsts, "label").select("x", "y", "size", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.h").alias("first_h")), "firsts")).df
     return attach(marked.select("doc_id", "h", "fp", "x", "y", "size"), by_set, ["x", "y", "size"]).select("doc_id", "h", "fp", "first_doc", "first_h")
 
 
+def sets_of(rows: DataFrame, own: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, own): the shingle sets of the nodes ``wanted`` (node)."""
+    wanted = Written(own.join(wanted, "node").select("node", F.col("doc_id").alias("own_doc"), F.col("h").alias("own_h")), "wanted").df
+    texts = meet(rows, wanted, (F.col("doc_id") == F.col("own_doc")) & (F.col("h") == F.col("own_h"))).select("node", "text")
+    return Written(texts.mapInArrow(remote("lamina.llm.simhash:set_batches", shingle), "node long, own array<long>"), "sets").df
+
+
+def by_edits(rows: DataFrame, own: DataFrame, bits: DataFrame, crowd: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, pivot) of core nodes, pairs (a, b) that can be alike of a core node and another one, and links (a, b) of alike ones.
+
+    ``crowd`` has (node, label, pivot), all that meet where a pivot was chosen.
+    The middle of a pivot is the set of shingles that most of its core nodes have;
+    the edits of a node are the shingles that it or the middle has alone, and two
+    sets differ in the edits that one of them has alone.  ``over`` is their number
+    less what half a pair may have: two nodes that share no edit are alike if the
+    sum of theirs is not above zero, and then so is each with the node that has
+    the least.  Others must share half of that sum, and meet by prefix
+    filtering over the edits, the rarest first.  What all of a group have is no
+    edit, so many of one text do not meet by it.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    sized = bits.select("node", "n", "bits")
+    middles = sized.select(F.col("node").alias("pivot"), F.col("n").alias("n_pivot"), F.col("bits").alias("bits_pivot"))
+    near = crowd.select("node", "pivot").join(sized, "node").join(middles, "pivot")
+    near = Written(near.mapInArrow(remote("lamina.llm.simhash:around_batches", similarity), "node long, pivot long, core boolean"), "around").df
+    wanted = near.select("node").unionByName(near.select(F.col("pivot").alias("node"))).distinct()
+    sets = sets_of(rows, own, wanted, shingle)
+    apart = lambda x, y: F.concat(F.array_except(x, y), F.array_except(y, x))
+    both = near.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("own").alias("other")), "pivot").join(crowd, ["node", "pivot"])
+    first = Written(both.select("node", "pivot", "label", "core", F.size("own").alias("n"), apart("own", "other").alias("edits")), "first-edits").df
+    cores = first.where("core").groupBy("pivot").agg(F.count("*").alias("cores"))
+    most = first.where("core").select("pivot", F.explode("edits").alias("e")).groupBy("pivot", "e").agg(F.count("*").alias("n")).join(cores, "pivot").where("2 * n > cores")
+    moved = first.join(most.groupBy("pivot").agg(F.collect_list("e").alias("most")), "pivot", "left")
+    edits = moved.withColumn("edits", F.coalesce(apart("edits", "most"), "edits")).drop("most").withColumn("size", F.size("edits")).withColumn("over", F.col("size") - c * F.col("n"))
+    edits = Written(edits, "edits").df
+    hubs = edits.groupBy("pivot").agg(F.min_by("node", "over").alias("hub"), F.min("over").alias("low"))
+    edits = Written(edits.join(hubs, "pivot"), "hubs").df
+    links = edits.where("node <> hub and over + low <= 1e-9").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    every = edits.select("pivot", "node", F.explode("edits").alias("e"))
+    common = Written(every.groupBy("pivot", "e").agg(F.count("*").alias("df")).where("df > 1"), "common").df
+    shared = every.join(common, ["pivot", "e"]).groupBy("node", "pivot").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("shared"))
+    # So many a partner shares at least: one that is not linked to the hub, or any if the node is not.
+    linked = F.col("over") + F.col("low") <= 1e-9
+    least = F.greatest(F.lit(1), F.ceil(F.when(linked, (F.col("over") - F.col("low")) / 2).otherwise(F.greatest((F.col("over") + F.col("low")) / 2, F.col("over") - c / similarity * F.col("n"))) - 1e-6))
+    heads = edits.drop("edits").join(shared, ["node", "pivot"]).withColumn("linked", linked).withColumn("alone", F.col("size") - F.size("shared"))
+    heads = heads.withColumn("shared", F.slice("shared", 1, F.greatest(F.lit(0), (F.col("size") - least + 1 - F.col("alone")).cast("int"))))
+    heads = heads.select("node", "pivot", "label", "core", "linked", "n", "size", "over", "alone", F.posexplode("shared").alias("at", "x"))
+    # ``rest`` edits of the node stand from this one on.
+    heads = heads.select("pivot", F.col("x.e").alias("e"), "node", "label", "core", "linked", "n", "over", (F.col("size") - F.col("alone") - F.col("at")).alias("rest"))
+    heads = Written(heads.join(bits.drop("n", "bits"), "node"), "heads").df
+    few = [f"bits{j}" for j in range(4)]
+    one, two = (heads.select("pivot", "e", *(F.col(x).alias(f"{x}_{i}") for x in ("node", "label", "core", "linked", "n", "over", "rest", *few))) for i in "ab")
+    some = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("core_a") | F.col("core_b")) & ~(F.col("linked_a") & F.col("linked_b"))
+    enough = F.least("rest_a", "rest_b") >= (F.col("over_a") + F.col("over_b")) / 2 - 1e-6
+    pairs = one.join(two, ["pivot", "e"]).where(some & enough & bits_near(similarity))
+    pairs = Written(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "edited").df
+    return near.where("core").select("node", "pivot"), pairs, Written(links, "hub-links").df
+
+
+def bits_near(similarity: float):
+    """Whether the parities ``bits0`` to ``bits3`` of a pair's sides, of ``n`` shingles, allow the similarity."""
+    differ = sum((F.bit_count(F.col(f"bits{j}_a").bitwiseXOR(F.col(f"bits{j}_b"))) for j in range(1, 4)), F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))))
+    return differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9
+
+
 def alike(rows: DataFrame, own: DataFrame, bits: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets are ``similarity`` alike.
 
@@ -295,9 +393,7 @@ def alike(rows: DataFrame, own: DataFrame, bits: DataFrame, pairs: DataFrame, sh
     sized = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
     pairs = Written(sized.mapInArrow(remote("lamina.llm.simhash:possible_batches", similarity), "a long, b long"), "possible").df
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = Written(own.join(wanted, "node").select("node", F.col("doc_id").alias("own_doc"), F.col("h").alias("own_h")), "wanted").df
-    texts = meet(rows, wanted, (F.col("doc_id") == F.col("own_doc")) & (F.col("h") == F.col("own_h"))).select("node", "text")
-    sets = Written(texts.mapInArrow(remote("lamina.llm.simhash:set_batches", shingle), "node long, own array<long>"), "sets").df
+    sets = sets_of(rows, own, wanted, shingle)
     one, two = (sets.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("own_a", "own_b")))
     return both.where(F.col("same") >= similarity * (F.size("own_a") + F.size("own_b") - F.col("same")) - 1e-9).select("a", "b")

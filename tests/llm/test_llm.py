@@ -190,6 +190,31 @@ def test_near_copies_equal_brute_force_over_exact_jaccard(spark):
     assert {r.doc_id: r.first_doc for r in found.collect()} == dict(enumerate(label))
 
 
+def test_large_groups_of_edits_of_one_text_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(52)
+    vocab = [f"v{i}" for i in range(900)]
+    texts = []
+    for words, many in ((150, 260), (49, 70), (250, 90)):  # 49 words: one edit leaves a similarity of just 0.8
+        base = rng.choices(vocab, k=words)
+        spare = rng.choices(vocab, k=12)  # few words and places, so that edits are shared
+        for i in range(many):
+            t = list(base)
+            for at in rng.sample(range(0, words, 6), min(words // 6, 1 + i % 9)):
+                t[at] = rng.choice(spare)
+            texts.append([*t[: words - rng.choice((0, 0, 5, 11))], *rng.choices(vocab, k=rng.choice((0, 0, 0, 4)))])
+    line = rng.choices(vocab, k=30)  # shared by texts that are otherwise unlike
+    texts += [line + rng.choices(vocab, k=rng.randint(1, 60)) for _ in range(60)]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    proposed, alike = [], simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda *a: proposed.append(a[3].count()) or alike(*a))
+    found = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
+    label = plain_groups(texts)
+    assert {r.doc_id: r.first_doc for r in found.collect()} == dict(enumerate(label))
+    # Not all pairs of a group's members with what is nearly alike.
+    assert len(set(label)) > 100 and proposed[-1] < len(texts), proposed
+
+
 def test_parities_bound_the_symmetric_difference():
     rng = np.random.default_rng(6)
     for n, m, both in ((0, 5, 0), (40, 44, 30), (300, 20, 10), (90, 90, 90), (1500, 1100, 1000), (2000, 2000, 1990)):
