@@ -331,6 +331,21 @@ def test_conversions_and_command_line(spark, tmp_path, capsys):
     assert not C.info(spark, out["binary"])["valid"]
 
 
+@pytest.mark.parametrize("n", [0, 1000, 1001, 2500])
+def test_a_converted_document_is_one_block(spark, tmp_path, n):
+    spark.dataSource.register(files.BinarySource)
+    entries = [{"key": i, "value": f"v{i}"} for i in range(n)]
+    for table, rows in ((S.array(S.struct(("id", S.integer()), ("name", S.utf8()))), [{"id": i, "name": f"n{i}"} for i in range(n)]), (S.map_table(S.integer(), S.utf8()), entries)):
+        at, binary, back = (str(tmp_path / f"{table.kind}.{k}") for k in ("json", "lamina", "back"))
+        files.write_bytes(at, files.write_document(table, rows).encode())
+        C.convert(spark, at, binary, "json", "binary")
+        got = C.info(spark, binary)
+        assert (got["rows"], got["blocks"]) == (n, 1)
+        C.convert(spark, binary, back, "binary", "json")
+        assert files.read_text(back) == files.read_text(at)
+        assert sorted(map(tuple, spark.read.format("lamina").option("path", binary).load().collect())) == sorted(tuple(r.values()) for r in rows)
+
+
 def test_metrics_file_is_small(spark):
     rows = [{"timestamp": L - 86400000 + 60000 * i, "metric_name": f"metric_{i % 10:03d}", "value": math.fmod(0.1 * i, 100)} for i in range(1000)]
     table = S.array(S.struct(("timestamp", S.integer("date", "deny")), ("metric_name", S.utf8()), ("value", S.double())))

@@ -30,6 +30,15 @@ def test_query_equals_its_sql(spark, duck, name):
     assert own == sorted(repr([dict(zip(oracle.columns, r, strict=True))[c] for c in sorted(df.columns)]) for r in oracle.fetchall())
 
 
+def test_file_info_equals_its_sql_beyond_a_thousand_suppliers(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql(f"create table supplier as select s_suppkey + 1000 * i as s_suppkey, s_name from '{SF}/supplier.parquet', range(250) r(i)")
+    con.sql(f"copy supplier to '{tmp_path}/supplier.parquet' (format parquet)")
+    assert con.sql("select count(*) from supplier").fetchall() == [(2500,)]
+    oracle = con.sql(core.oracle_sql()["file_info"])
+    assert sorted(map(tuple, core.queries()["file_info"](spark, str(tmp_path)).select(*oracle.columns).collect())) == sorted(oracle.fetchall())
+
+
 def test_entry_points_import():
     import __spark_entry__ as e
 
